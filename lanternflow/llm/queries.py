@@ -6,11 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam
+from . import decontam, linededup, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": decontam.op1_decontaminate,
+    "op2_near_duplicates": simhash.op2_near_duplicates,
+    "op4_line_dedup": linededup.op4_line_dedup,
 }
 SQL: dict[str, str] = {
     "op1_decontaminate": decontam.OP1_SQL,
+    "op4_line_dedup": linededup.OP4_SQL,
 }
