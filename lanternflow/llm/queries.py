@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, linededup, mixing, qrules, simhash
+from . import decontam, linededup, mixing, qrules, secrets, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": decontam.op1_decontaminate,
     "op2_near_duplicates": simhash.op2_near_duplicates,
     "op4_line_dedup": linededup.op4_line_dedup,
     "op7_mix_sources": mixing.op7_mix_sources,
+    "op8_secrets": secrets.op8_secrets,
     "op9_quality_rules": qrules.op9_quality_rules,
 }
 SQL: dict[str, str] = {
