@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, langid, license, linededup, mixing, qrules, quality, secrets, simhash
+from . import decontam, langid, license, linededup, mixing, qrules, quality, secrets, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": decontam.op1_decontaminate,
@@ -18,6 +18,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_mix_sources": mixing.op7_mix_sources,
     "op8_secrets": secrets.op8_secrets,
     "op9_quality_rules": qrules.op9_quality_rules,
+    "op10_toxicity": toxicity.op10_toxicity,
 }
 SQL: dict[str, str] = {
     "op1_decontaminate": decontam.OP1_SQL,
