@@ -1,28 +1,368 @@
-"""Demonstration queries of the engine's operators over the driver's tables, each with SQL for the same rows."""
+"""Demonstration queries of the engine's operators over the driver's tables, each with SQL for the same rows.
+
+Records for resolution come from part; the control graph from trade (each nation holds the two nations that buy most from
+its suppliers); guidance retrieval runs the benchmark items as queries over the documents."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-FLAGSHIP = "union_first_wins"
+from lanternflow.functions import names as N
+from lanternflow.functions import similarity as S
+from lanternflow.operators import drift, evaluation, language_gate, ownership, resolution, retrieval
+from lanternflow.sources import registers
+from lanternflow.streaming import deltas
 
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+SQL: dict[str, str] = {}
+FLAGSHIP = "token_overlap_pairs"
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def register(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
-def union_first_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from lanternflow.sources.registers import first_wins
 
-    c = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.concat(F.lit("R-"), F.col("c_custkey")).alias("record_id"), F.lit("customer").alias("source"), F.col("c_name").alias("name"), F.col("c_custkey").alias("load_seq"))
-    s = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.concat(F.lit("R-"), F.col("s_suppkey")).alias("record_id"), F.lit("supplier").alias("source"), F.col("s_name").alias("name"), (F.col("s_suppkey") + 1_000_000_000).alias("load_seq"))
-    return first_wins(c.unionByName(s))
+# ---- sources ------------------------------------------------------------------------------------------------------
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"union_first_wins": union_first_wins}
-SQL: dict[str, str] = {
-    "union_first_wins": """
+@query("""
 select record_id, source, name, load_seq from (
   select *, row_number() over (partition by record_id order by load_seq) n from (
     select 'R-' || c_custkey record_id, 'customer' source, c_name as name, c_custkey load_seq from customer
-    union all select 'R-' || s_suppkey, 'supplier', s_name, s_suppkey + 1000000000 from supplier)) where n = 1"""
-}
+    union all select 'R-' || s_suppkey, 'supplier', s_name, s_suppkey + 1000000000 from supplier)) where n = 1""")
+def union_first_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "customer").select(F.concat(F.lit("R-"), F.col("c_custkey")).alias("record_id"), F.lit("customer").alias("source"), F.col("c_name").alias("name"), F.col("c_custkey").alias("load_seq"))
+    s = table(spark, sf_dir, "supplier").select(F.concat(F.lit("R-"), F.col("s_suppkey")).alias("record_id"), F.lit("supplier").alias("source"), F.col("s_name").alias("name"), (F.col("s_suppkey") + 1_000_000_000).alias("load_seq"))
+    return registers.first_wins(c.unionByName(s))
+
+
+@query("select source, count(*) records from documents group by source")
+def source_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return registers.source_counts(table(spark, sf_dir, "documents"))
+
+
+# ---- names --------------------------------------------------------------------------------------------------------
+
+_STOP_SQL = ", ".join(f"'{x}'" for x in N.ADDRESS_STOP)
+_CLEAN_SQL = "string_split(trim(regexp_replace(lower(strip_accents(coalesce(text, ''))), '[^a-z0-9]+', ' ', 'g')), ' ')"
+
+
+@query(f"""
+select doc_id, len(t)::bigint n_tokens, len(list_distinct(t))::bigint n_distinct, md5(array_to_string(t, ' ')) text_md5 from (
+  select doc_id, list_filter({_CLEAN_SQL}, lambda x: x <> '' and x not in ({_STOP_SQL}) and not regexp_full_match(x, '[0-9]+')) t from documents)""")
+def normalize_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").select("doc_id", N.normalize_address(F.col("text")).alias("t"))
+    tokens = F.array_remove(F.split("t", " "), "")
+    return d.select("doc_id", F.size(tokens).cast("bigint").alias("n_tokens"), F.size(F.array_distinct(tokens)).cast("bigint").alias("n_distinct"), F.md5("t").alias("text_md5"))
+
+
+def _soundex_sql(w: str) -> str:
+    coded = f"translate({w}, 'bfpvwcgjkqsxzdtlmnr', '1111122222222334556')"
+    coded = f"regexp_replace(substr({coded}, 1, 1), '[^1-6]', '0') || regexp_replace(replace(substr({coded}, 2), 'h', ''), '[^1-6]', '0', 'g')"
+    for digit in "0123456":
+        coded = f"regexp_replace({coded}, '{digit}+', '{digit}', 'g')"
+    return f"upper(translate(substr({w}, 1, 1), 'wcyjqx', 'vkiiks')) || rpad(substr(replace(substr({coded}, 2), '0', ''), 1, 3), 3, '0')"
+
+
+@query(f"""
+select code, count(*) n, count(distinct word) words from (select word, {_soundex_sql("word")} code from (
+  select unnest(list_filter({_CLEAN_SQL}, lambda x: len(x) >= 3)) word from documents)) group by code""")
+def sound_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = F.regexp_replace(F.lower(N.transliterate(F.col("text"))), "[^a-z0-9]+", " ")
+    words = table(spark, sf_dir, "documents").select(F.explode(F.filter(F.split(cleaned, " "), lambda t: F.length(t) >= 3)).alias("word"))
+    counted = words.groupBy("word").agg(F.count(F.lit(1)).alias("n"))  # each word is coded once
+    return counted.groupBy(N.soundex(F.col("word")).alias("code")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("words"))
+
+
+# ---- blocking and similarity --------------------------------------------------------------------------------------
+
+
+def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").withColumn("record_id", F.col("p_partkey"))
+
+
+def _part_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _parts(spark, sf_dir)
+    keys = p.select("record_id", F.lit("shape").alias("key_type"), F.concat_ws("|", "p_brand", "p_size", "p_type").alias("key"))
+    named = p.select("record_id", F.lit("name").alias("key_type"), F.concat_ws("|", "p_name", "p_brand", "p_size").alias("key"))
+    return resolution.candidate_pairs(keys.unionByName(named))
+
+
+_PAIRS_SQL = """
+with k as (select p_partkey r, 'shape' t, p_brand || '|' || p_size || '|' || p_type k from part union all select p_partkey, 'name', p_name || '|' || p_brand || '|' || p_size from part),
+b as (select t, k from k group by t, k having count(*) between 2 and 60),
+kk as (select k.* from k join b on k.t = b.t and k.k = b.k),
+pairs as (select x.r a, y.r b, array_to_string(list_sort(list(distinct x.t)), ',') key_types from kk x join kk y on x.t = y.t and x.k = y.k and x.r < y.r group by x.r, y.r)
+"""
+
+
+@query(_PAIRS_SQL + "select * from pairs")
+def blocking_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _part_pairs(spark, sf_dir).select("a", "b", F.array_join("key_types", ",").alias("key_types"))
+
+
+def _named(spark: SparkSession, sf_dir: str, pairs: DataFrame) -> DataFrame:
+    p = _parts(spark, sf_dir).select("record_id", "p_name", "p_type", N.name_tokens(F.concat_ws(" ", "p_name", "p_type")).alias("tokens"))
+    left, right = p.toDF("a", "a_name", "a_type", "a_tokens"), p.toDF("b", "b_name", "b_type", "b_tokens")
+    return pairs.join(left, "a").join(right, "b")
+
+
+_TOKENS_SQL = _PAIRS_SQL + """, n as (select p_partkey r, p_name, p_type, list_distinct(string_split(trim(regexp_replace(lower(p_name || ' ' || p_type), '[^a-z0-9]+', ' ', 'g')), ' ')) w from part),
+j as (select a, b, x.p_name a_name, y.p_name b_name, x.p_type a_type, y.p_type b_type, x.w aw, y.w bw, len(list_intersect(x.w, y.w)) common from pairs join n x on a = x.r join n y on b = y.r)
+"""
+
+
+@query(_TOKENS_SQL + "select a, b, common / (len(aw) + len(bw) - common) jaccard, common / least(len(aw), len(bw)) containment from j where common / (len(aw) + len(bw) - common) >= 0.5")
+def token_overlap_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    j = _named(spark, sf_dir, _part_pairs(spark, sf_dir))
+    return j.select("a", "b", S.token_jaccard(F.col("a_tokens"), F.col("b_tokens")).alias("jaccard"), S.token_containment(F.col("a_tokens"), F.col("b_tokens")).alias("containment")).where("jaccard >= 0.5")
+
+
+@query(_TOKENS_SQL + "select a, b, round(case when a_name = b_name then 1.0 else jaro_winkler_similarity(a_name, b_name) end, 6) similarity from j")
+def jaro_winkler_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    j = _named(spark, sf_dir, _part_pairs(spark, sf_dir))
+    texts = j.select("a_name", "b_name").distinct()  # each pair of strings is compared once
+    texts = texts.select("a_name", "b_name", F.round(S.jaro_winkler(F.col("a_name"), F.col("b_name")), 6).alias("similarity"))
+    return j.join(texts, ["a_name", "b_name"]).select("a", "b", "similarity")
+
+
+@query(_TOKENS_SQL + """, t as (select unnest(list_intersect(aw, bw)) token, a_type = b_type same from j)
+select token, count(*) filter (where same) pos, count(*) filter (where not same) neg from t group by token having count(*) filter (where same) > 0 and count(*) filter (where same) >= 0.8 * count(*)""")
+def memorised_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    j = _named(spark, sf_dir, _part_pairs(spark, sf_dir)).withColumn("label", F.col("a_type") == F.col("b_type"))
+    return evaluation.memorised_tokens(j)
+
+
+@query(_PAIRS_SQL.replace("with k", "with recursive k", 1) + """, s as (select a, b from pairs where key_types like '%name%' union select b, a from pairs where key_types like '%name%'),
+z(n, l) as (select p_partkey, p_partkey from part union select s.b, z.l from z join s on z.n = s.a)
+select n record_id, min(l) component from z group by n""")
+def components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = _part_pairs(spark, sf_dir).where(F.array_contains("key_types", "name"))
+    return resolution.connected_components(_parts(spark, sf_dir).select("record_id"), pairs)
+
+
+# ---- control graph ------------------------------------------------------------------------------------------------
+
+_TRADE_SQL = """
+with recursive v as (select s_nationkey::bigint p, c_nationkey::bigint c, sum((l_extendedprice * 100)::bigint) rev from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey join supplier on l_suppkey = s_suppkey where s_nationkey <> c_nationkey group by 1, 2),
+x as (select p, c, rev, row_number() over (partition by p order by rev desc, c) n, sum(rev) over (partition by p) total from v),
+e as (select p, c, 100.0 * rev / total share, p * 100 + c seq from x where n <= 2),
+"""
+
+
+def _trade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = lambda n: table(spark, sf_dir, n)
+    cents = (F.col("l_extendedprice") * 100).cast("decimal(20,0)").cast("bigint")
+    sold = t("lineitem").select("l_orderkey", "l_suppkey", cents.alias("rev")).join(t("supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").cast("bigint").alias("parent")), "l_suppkey")
+    to = t("orders").select("o_orderkey", "o_custkey").join(t("customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").cast("bigint").alias("child")), "o_custkey")
+    v = sold.join(to, sold["l_orderkey"] == to["o_orderkey"]).where("parent <> child").groupBy("parent", "child").agg(F.sum("rev").alias("rev"))
+    w = Window.partitionBy("parent")
+    v = v.withColumn("n", F.row_number().over(w.orderBy(F.desc("rev"), "child"))).withColumn("total", F.sum("rev").over(w)).where("n <= 2")
+    share = F.lit(100.0) * F.col("rev") / F.col("total")
+    return resolution.written(v.select("parent", "child", F.lit("shareholding").alias("interest_type"), share.alias("share_percent"), F.lit(1.0).alias("confidence"), F.lit(1).cast("bigint").alias("n_statements"), (F.col("parent") * 100 + F.col("child")).alias("edge_seq")))
+
+
+def _nations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("bigint").alias("root"))
+
+
+@query(_TRADE_SQL + "z as (select 1) select p parent, c child, round(share, 6) share_percent from e")
+def trade_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _trade(spark, sf_dir).select("parent", "child", F.round("share_percent", 6).alias("share_percent"))
+
+
+@query(_TRADE_SQL + "z as (select 1) select n_nationkey::bigint entity_id from nation where n_nationkey not in (select c from e)")
+def trade_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ownership.roots(_nations(spark, sf_dir).withColumnRenamed("root", "entity_id"), _trade(spark, sf_dir))
+
+
+@query(_TRADE_SQL + """b(root, node, depth) as (select n_nationkey::bigint, n_nationkey::bigint, 0 from nation union select root, c, depth + 1 from b join e on node = p where depth < 12)
+select root, node, min(depth) depth from b where node <> root group by root, node""")
+def trade_bfs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ownership.descendants(_trade(spark, sf_dir), _nations(spark, sf_dir))
+
+
+_PATHS_SQL = _TRADE_SQL + "b(root, node, nodes, prod, depth) as (select n_nationkey::bigint, n_nationkey::bigint, [n_nationkey::bigint], 1.0::double, 0 from nation union all select root, c, list_append(nodes, c), prod * share / 100, depth + 1 from b join e on node = p where depth < 5 and not list_contains(nodes, c))"
+
+
+@query(_PATHS_SQL + " select root, array_to_string(nodes, '>') path, round(prod, 9) product from b where depth > 0")
+def trade_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = ownership.paths(_trade(spark, sf_dir), _nations(spark, sf_dir), 5, None)
+    return p.select("root", F.array_join(F.transform("nodes", lambda x: x.cast("string")), ">").alias("path"), F.round("product", 9).alias("product"))
+
+
+@query(_PATHS_SQL + " select root, node child, round(100 * max(prod), 6) effective from b where depth > 0 group by root, node")
+def trade_effective(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = ownership.paths(_trade(spark, sf_dir), _nations(spark, sf_dir), 5, None)
+    return ownership.effective_shares(p).select("root", "child", F.round("effective", 6).alias("effective"))
+
+
+@query(_PATHS_SQL + """, i as (select root, unnest(nodes[2:len(nodes) - 1]) node from b where depth > 0)
+select node, round(count(*) / (select count(*) from b where depth > 0), 9) centrality, count(distinct root) roots_served from i group by node""")
+def trade_betweenness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = resolution.written(ownership.paths(_trade(spark, sf_dir), _nations(spark, sf_dir), 5, None))
+    return ownership.betweenness(p).select("node", F.round("centrality", 9).alias("centrality"), "roots_served")
+
+
+@query(_TRADE_SQL + """b(start, node, nodes) as (select p, c, [p, c] from e where p < c union all select start, c, list_append(nodes, c) from b join e on node = p where c > start and not list_contains(nodes, c) and len(nodes) < 8)
+select distinct array_to_string(list_sort(nodes), ',') nodes, len(nodes)::int length from b join e on b.node = e.p and b.start = e.c""")
+def trade_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = ownership.cycles(_trade(spark, sf_dir))
+    return c.select(F.array_join(F.transform("nodes", lambda x: x.cast("string")), ",").alias("nodes"), F.col("length").cast("int").alias("length"))
+
+
+@query()
+def trade_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _trade(spark, sf_dir)
+    nodes = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("bigint").alias("entity_id"), F.col("n_name").alias("canonical_name"), F.upper(F.substring("n_name", 1, 2)).alias("jurisdiction"))
+    found = ownership.assess(ownership.features(nodes, e, _nations(spark, sf_dir)))
+    return found.select("entity_id", F.round("score", 6).alias("score"), "flagged", F.size("reasons").alias("n_reasons"))
+
+
+# ---- retrieval ----------------------------------------------------------------------------------------------------
+
+
+def _tokens_sql(text: str) -> str:
+    low = f"lower(coalesce({text}, ''))"
+    for pattern, replacement in retrieval.NUMBER_PHRASES:
+        low = f"regexp_replace({low}, '{pattern}', '{replacement}', 'g')"
+    stop = ", ".join(f"'{x}'" for x in retrieval.STOP)
+    more = "case t " + " ".join(f"when '{k}' then ['{k}', " + ", ".join(f"'{x}'" for x in v) + "]" for k, v in retrieval.SYNONYMS.items()) + " else [t] end"
+    return rf"flatten(list_transform(list_filter(regexp_extract_all({low}, '[A-Za-z][A-Za-z0-9]*|\d+'), lambda t: t not in ({stop})), lambda t: {more}))"
+
+
+_BM25_SQL = f"""
+with d as (select doc_id, {_tokens_sql("text")} w from documents), s as (select count(*) n, avg(len(w)) avgdl from d),
+q as (select distinct item_id, unnest({_tokens_sql("text")}) term from benchmark),
+p as (select doc_id, len(w) dl, unnest(w) term from d), tf as (select doc_id, term, count(*) tf, any_value(dl) dl from p group by doc_id, term),
+df as (select term, count(*) df from tf group by term),
+b as (select item_id, doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) score from q join tf using (term) join df using (term), s group by item_id, doc_id),
+r as (select *, row_number() over (partition by item_id order by round(score, 6) desc, doc_id) rank from b)
+"""
+
+
+def _bm25(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
+    d = table(spark, sf_dir, "documents").select("doc_id", retrieval.tokenize(F.col("text")).alias("tokens"))
+    q = table(spark, sf_dir, "benchmark").select("item_id", retrieval.tokenize(F.col("text")).alias("tokens"))
+    return retrieval.top_k(retrieval.bm25(resolution.written(d), q, query="item_id").withColumn("score", F.round("score", 6)), k)
+
+
+@query(_BM25_SQL + "select item_id query, doc_id doc, round(score, 6) score, rank from r where rank <= 5")
+def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _bm25(spark, sf_dir, 5)
+
+
+@query(_BM25_SQL + """, o as (select item_id, doc_id, count(*) hits from q join tf using (term) group by item_id, doc_id),
+o2 as (select *, row_number() over (partition by item_id order by hits desc, doc_id) rank from o),
+f as (select item_id, doc_id, sum(1.0 / (60 + rank)) score from (select item_id, doc_id, rank from r where rank <= 25 union all select item_id, doc_id, rank from o2 where rank <= 25) group by item_id, doc_id)
+select query, doc, round(score, 9) score, rank from (select item_id query, doc_id doc, score, row_number() over (partition by item_id order by round(score, 9) desc, doc_id) rank from f) where rank <= 5""")
+def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), F.explode(F.array_distinct(retrieval.tokenize(F.col("text")))).alias("term"))
+    q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"), F.explode(F.array_distinct(retrieval.tokenize(F.col("text")))).alias("term"))
+    overlap = retrieval.top_k(d.join(q, "term").groupBy("query", "doc").agg(F.count(F.lit(1)).alias("score")), 25)
+    return retrieval.top_k(retrieval.rrf([_bm25(spark, sf_dir, 25), overlap]).withColumn("score", F.round("score", 9)), 5)
+
+
+@query("""
+with v as (select vec_id, embedding::double[] e from embeddings), u as (select vec_id, list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) e from v),
+s as (select q.vec_id query, d.vec_id doc, round(list_dot_product(q.e, d.e), 6) score from u q, u d where q.vec_id % 20 = 0),
+r as (select *, row_number() over (partition by query order by score desc, doc) rank from s)
+select query, doc, score, rank from r where rank <= 5""")
+def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    q = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query"), F.col("v").alias("qv"))
+    scores = retrieval.dense_scores(e.select(F.col("vec_id").alias("doc"), F.col("v").alias("dv")), q)
+    return retrieval.top_k(scores.withColumn("score", F.round("score", 6)), 5)
+
+
+def _cues_sql() -> str:
+    n = {k: " + ".join(f"regexp_matches(lower(text), '{p}')::int" for p in v) for k, v in retrieval.CUES.items()}
+    best = f"greatest({', '.join(n.values())})"
+    return "case " + " ".join(f"when {best} > 0 and {x} = {best} then '{k}'" for k, x in n.items()) + " end"
+
+
+@query(f"select conv_id, turn, {_cues_sql()} regime from conversations")
+def regime_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", retrieval.infer_regime(F.col("text")).alias("regime"))
+
+
+@query()
+def language_gate_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = language_gate.language_check(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return d.select("doc_id", "pep_mentioned", "n_violations", "framing_present", "passed")
+
+
+# ---- measures and drift -------------------------------------------------------------------------------------------
+
+
+@query("""
+with p as (select doc_id from labels where toxic = 0), t as (select doc_id from labels where quality = 1),
+c as (select count(*) filter (where p.doc_id is not null and t.doc_id is not null) tp, count(*) filter (where t.doc_id is null) fp, count(*) filter (where p.doc_id is null) fn from p full join t on p.doc_id = t.doc_id)
+select tp, fp, fn, tp / (tp + fp) "precision", tp / (tp + fn) recall, 2 * (tp / (tp + fp)) * (tp / (tp + fn)) / (tp / (tp + fp) + tp / (tp + fn)) f1 from c""")
+def confusion_prf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("a"), F.col("doc_id").alias("b"), "quality", "toxic")
+    return evaluation.pair_metrics(x.where("toxic = 0"), x.where("quality = 1"))
+
+
+@query("""
+with g as (select source, sum(quality) s, count(*) n from documents join labels using (doc_id) group by source), p as (select source, s / n p, n from g)
+select source, round(greatest(0, (p + 3.8416 / (2 * n) - 1.96 * sqrt(p * (1 - p) / n + 3.8416 / (4 * n * n))) / (1 + 3.8416 / n)), 9) low, round(least(1, (p + 3.8416 / (2 * n) + 1.96 * sqrt(p * (1 - p) / n + 3.8416 / (4 * n * n))) / (1 + 3.8416 / n)), 9) high from p""")
+def wilson_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id").groupBy("source").agg(F.sum("quality").alias("s"), F.count(F.lit(1)).alias("n"))
+    w = evaluation.wilson(F.col("s"), F.col("n"))
+    return g.select("source", F.round(w["low"], 9).alias("low"), F.round(w["high"], 9).alias("high"))
+
+
+@query("""
+with x as (select least(2.0, n_chars / 2000.0) score, quality = 1 y from documents join labels using (doc_id)), t as (select unnest(range(0, 41)) * 0.05::double threshold),
+c as (select threshold, count(*) filter (where score >= threshold and y) tp, count(*) filter (where score >= threshold and not y) fp, count(*) filter (where score < threshold and y) fn, count(*) filter (where score < threshold and not y) tn from x, t group by threshold)
+select round(threshold, 6) threshold, tp, fp, fn, tn, round(case when tp + fp > 0 then tp / (tp + fp) else 0 end, 9) "precision", round(case when tp + fn > 0 then tp / (tp + fn) else 0 end, 9) recall from c""")
+def threshold_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("entity_id"), F.least(F.lit(2.0), F.col("n_chars") / 2000.0).alias("score"))
+    y = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("entity_id"), (F.col("quality") == 1).alias("label"))
+    s = ownership.threshold_sweep(d, y)
+    return s.select(F.round("threshold", 6).alias("threshold"), "tp", "fp", "fn", "tn", F.round("precision", 9).alias("precision"), F.round("recall", 9).alias("recall"))
+
+
+def _psi_sql(category: str) -> str:
+    return f"""
+with x as (select {category} x, ts < timestamp '2024-01-16' base from events), n as (select count(*) filter (where base) nb, count(*) filter (where not base) nc from x),
+c as (select x, count(*) filter (where base) b, count(*) filter (where not base) c from x group by x), s as (select x, greatest(b / nb, 1e-6) b, greatest(c / nc, 1e-6) c from c, n)
+"""
+
+
+def _halves(spark: SparkSession, sf_dir: str, category) -> tuple[DataFrame, DataFrame]:
+    e = table(spark, sf_dir, "events").select("ts", category.alias("x"))
+    cut = F.lit("2024-01-16").cast("timestamp")
+    return e.where(F.col("ts") < cut), e.where(F.col("ts") >= cut)
+
+
+@query(_psi_sql("event_type") + "select x category, round(b, 9) base_share, round(c, 9) current_share, round((c - b) * ln(c / b), 9) contribution from s")
+def psi_by_category(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = drift.psi_parts(*_halves(spark, sf_dir, F.col("event_type")), "x")
+    return p.select("category", *[F.round(c, 9).alias(c) for c in ("base_share", "current_share", "contribution")])
+
+
+@query(_psi_sql("least(9, greatest(0, trunc(value / 100 * 10)::int))") + "select 'value' signal, 'psi' statistic, round(sum((c - b) * ln(c / b)), 9) \"value\", case when sum((c - b) * ln(c / b)) < 0.1 then 'stable' when sum((c - b) * ln(c / b)) < 0.25 then 'investigate' else 'alert' end status from s")
+def psi_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = drift.psi(*_halves(spark, sf_dir, drift.score_bin(F.col("value") / 100)), "x", "value")
+    return p.select("signal", "statistic", F.round("value", 9).alias("value"), "status")
+
+
+@query("select date_trunc('day', ts)::timestamp window_start, event_type category, count(*) n from events group by 1, 2")
+def daily_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return deltas.windowed_mix(table(spark, sf_dir, "events"))
