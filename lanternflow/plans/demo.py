@@ -19,7 +19,7 @@ from lanternflow.streaming import deltas
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
-FLAGSHIP = "token_overlap_pairs"
+FLAGSHIP = "bm25_topk"
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
