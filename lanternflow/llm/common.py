@@ -69,6 +69,16 @@ def mapped(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch],
     return df.mapInArrow(over, schema)
 
 
+def set_aside(documents: DataFrame, *needed: str) -> DataFrame:
+    """documents with all columns but the needed ones renamed by place, so that no name of theirs can clash."""
+    return documents.toDF(*[c if c in needed else f"other{i}" for i, c in enumerate(documents.columns)])
+
+
+def put_back(result: DataFrame, aside: DataFrame, documents: DataFrame) -> DataFrame:
+    """The columns of aside from result, under their names in documents."""
+    return result.select(*aside.columns).toDF(*documents.columns)
+
+
 def remainder(column: Column | str, by: int) -> Column:
     """crc32 of the id as text, modulo by; an id that is null counts as empty text."""
     return F.crc32(F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(None)).cast("string")) % by

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fits_broadcast, result_copies, saved, words
+from .common import fits_broadcast, put_back, result_copies, saved, set_aside, words
 
 WINDOW = 8
 MIN_ITEMS = 2
@@ -114,12 +114,13 @@ def decontaminated(documents: DataFrame, benchmark: DataFrame, window: int = WIN
     hits = saved(hits, "hits")
     side = F.broadcast(hits) if fits_broadcast(hits, 20_000) else hits.hint("shuffle_hash")
     on = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("__hash"))
-    joined = documents.join(side, on, "left").where(~F.coalesce("__out", F.lit(False)))
+    docs = set_aside(documents, "doc_id", "text", "n_chars")
+    joined = docs.join(side, on, "left").where(~F.coalesce("__out", F.lit(False)))
     text = F.when(F.col("__spans").isNotNull(), without_spans(F.col("text"), F.col("__spans"))).otherwise(F.col("text"))
     joined = joined.withColumn("text", text)
     if "n_chars" in documents.columns:
         joined = joined.withColumn("n_chars", F.when(F.col("__spans").isNotNull(), F.length("text").cast("bigint")).otherwise(F.col("n_chars")))
-    return joined.select(*documents.columns)
+    return put_back(joined, docs, documents)
 
 
 def op1_decontaminate(spark, sf_dir: str) -> DataFrame:

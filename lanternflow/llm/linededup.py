@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mapped, saved
+from .common import mapped, saved, set_aside
 
 MIN_LENGTH = 20
 MIN_DOCUMENTS = 3
@@ -64,9 +64,11 @@ def deduplicated(documents: DataFrame, min_length: int = MIN_LENGTH, min_documen
     lines. n_chars, if it is there, follows the text."""
     drops = frequent_lines(documents, min_length, min_documents).groupBy("doc_id").agg(F.collect_list("hash").alias("__hashes"))
     drops = saved(drops, "drops").withColumnRenamed("doc_id", "__id")
-    docs = documents.drop("n_lines", "n_dropped")
+    whole = documents.drop("n_lines", "n_dropped")
+    docs = set_aside(whole, "doc_id", "text", "n_chars")
+    columns = docs.columns
     joined = docs.join(drops.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("__id")), "left").drop("__id")
-    at, hashes = joined.columns.index("text"), len(joined.columns) - 1
+    at, hashes = columns.index("text"), len(columns)
 
     def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts, totals, dropped, chars = [], [], [], []
@@ -80,15 +82,15 @@ def deduplicated(documents: DataFrame, min_length: int = MIN_LENGTH, min_documen
             totals.append(len(lines))
             dropped.append(len(lines) - len(kept))
             chars.append(len(texts[-1]))
-        columns = [batch.column(i) for i in range(hashes)]
-        columns[at] = pa.array(texts, pa.string())
-        if "n_chars" in docs_columns:
-            columns[docs_columns.index("n_chars")] = pa.array(chars, pa.int64())
-        return pa.RecordBatch.from_arrays([*columns, pa.array(totals, pa.int64()), pa.array(dropped, pa.int64())], names=[*docs_columns, "n_lines", "n_dropped"])
-
-    docs_columns = docs.columns
-    kinds = {c: t for c, t in docs.dtypes} | {"text": "string", "n_chars": "bigint"}
-    return mapped(joined, cut, ", ".join(f"`{c}` {kinds[c]}" for c in docs_columns) + ", n_lines bigint, n_dropped bigint")
+        out = [batch.column(i) for i in range(hashes)]
+        out[at] = pa.array(texts, pa.string())
+        if "n_chars" in columns:
+            out[columns.index("n_chars")] = pa.array(chars, pa.int64())
+        return pa.RecordBatch.from_arrays([*out, pa.array(totals, pa.int64()), pa.array(dropped, pa.int64())], names=[*columns, "n_lines", "n_dropped"])
+
+    kinds = dict(docs.dtypes) | {"text": "string", "n_chars": "bigint"}
+    result = mapped(joined, cut, ", ".join(f"`{c}` {kinds[c]}" for c in columns) + ", n_lines bigint, n_dropped bigint")
+    return result.toDF(*whole.columns, "n_lines", "n_dropped")
 
 
 def op4_line_dedup(spark, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import blank_split, mapped, saved, sized
+from .common import blank_split, mapped, put_back, saved, set_aside, sized
 
 GAMMA = 1.02
 FLOOR = 1e-4
@@ -142,7 +142,8 @@ def filtered(documents: DataFrame) -> DataFrame:
     """The rows of documents that are kept, with their columns. Statistics are made again beside the text, as that costs
     less than a shuffle of all texts."""
     fences = thresholds(measured(documents))
-    return judged(measured(documents, texts=True), fences).where("kept").select(*documents.columns)
+    docs = set_aside(documents, "text", "lang", "source")
+    return put_back(judged(measured(docs, texts=True), fences).where("kept"), docs, documents)
 
 
 def op9_quality_rules(spark, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mapped, saved
+from .common import mapped, put_back, saved, set_aside
 
 SHINGLE = 4
 MAX_DISTANCE = 4
@@ -214,10 +214,11 @@ def one_of_each(documents: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     kept = saved(found.groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n")), "kept")
     side = kept.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"))
     on = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("__hash"))
-    result = documents.join(side.hint("shuffle_hash"), on, "left_semi")
+    docs = set_aside(documents, "doc_id", "text")
+    result = docs.join(side.hint("shuffle_hash"), on, "left_semi")
     if kept.where("n > 1").limit(1).count():  # whole rows are repeated
-        result = result.withColumn("__hash", F.xxhash64(F.coalesce("text", F.lit("")))).dropDuplicates(["doc_id", "__hash"]).drop("__hash")
-    return result
+        result = result.withColumn("__hash", F.xxhash64(F.coalesce("text", F.lit("")))).dropDuplicates(["doc_id", "__hash"])
+    return put_back(result, docs, documents)
 
 
 def op2_near_duplicates(spark, sf_dir: str) -> DataFrame:
