@@ -366,3 +366,106 @@ def psi_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("select date_trunc('day', ts)::timestamp window_start, event_type category, count(*) n from events group by 1, 2")
 def daily_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deltas.windowed_mix(table(spark, sf_dir, "events"))
+
+
+# ---- scores, rulings and entities over parts ----------------------------------------------------------------------
+
+
+def _part_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    none = F.array().cast("array<string>")
+    p = table(spark, sf_dir, "part")
+    return p.select(
+        F.col("p_partkey").alias("record_id"), F.col("p_brand").alias("source"), F.lit("company").alias("entity_type"), F.col("p_name").alias("name"), F.substring("p_type", 1, 2).alias("jurisdiction"), F.concat_ws(" ", "p_type", "p_name").alias("address"),
+        F.lit("").alias("birth_date"), F.when(F.col("p_size") % 2 == 0, F.concat_ws("-", "p_name", "p_brand", "p_size")).otherwise("").alias("identifier"), none.alias("aliases"), none.alias("topics"),
+    )
+
+
+_SOUND_SQL = _soundex_sql("w")
+_SCORES_SQL = _PAIRS_SQL + rf""", n as (select p_partkey r, p_name nm, p_brand source, list_filter(string_split(p_name, ' '), lambda w: len(w) >= 3) sig, list_distinct(string_split(lower(p_type || ' ' || p_name), ' ')) addr, substr(p_type, 1, 2) jur,
+  case when p_size % 2 = 0 then regexp_replace(lower(p_name || '-' || p_brand || '-' || p_size), '[^a-z0-9]+', '', 'g') else '' end ident from part),
+n2 as (select *, array_to_string(list_sort(list_transform(sig, lambda w: {_SOUND_SQL})), '-') sound from n),
+f as (select a, b, case when x.nm = y.nm then 1.0 else jaro_winkler_similarity(x.nm, y.nm) end name_jaro,
+  greatest(len(list_intersect(x.sig, y.sig)) / len(list_distinct(list_concat(x.sig, y.sig))), 0.85 * len(list_intersect(x.sig, y.sig)) / least(len(list_distinct(x.sig)), len(list_distinct(y.sig)))) name_token_jaccard,
+  (x.sound = y.sound)::int::double phonetic_match, len(list_intersect(x.addr, y.addr)) / least(len(x.addr), len(y.addr)) address_overlap, case when x.jur = y.jur then 1.0 else -0.5 end jurisdiction_match, 0.0 birth_date_match,
+  case when x.ident <> '' and x.ident = y.ident then 1.0 else 0.0 end identifier_match, len(list_intersect(x.sig, y.sig)) / least(len(list_distinct(x.sig)), len(list_distinct(y.sig))) contained from pairs join n2 x on a = x.r join n2 y on b = y.r),
+s0 as (select *, 0.34 * name_jaro + 0.22 * name_token_jaccard + 0.08 * phonetic_match + 0.12 * address_overlap + 0.08 * jurisdiction_match + 0.12 * birth_date_match + 0.04 * identifier_match base from f),
+s as (select *, least(1.0, greatest(0.0, case when identifier_match = 1 then greatest(base, 0.95) else base end)) score from s0),
+sc as (select *, case when score >= 0.8 then 'match' when score >= 0.58 then 'review' else 'reject' end decision from s),
+ru as (select a, b, case when identifier_match = 1 then 'match' when jurisdiction_match < 0 then 'reject' when contained >= 0.99 and jurisdiction_match > 0 then 'match' when name_jaro >= 0.92 and address_overlap >= 0.5 then 'match' when name_jaro >= 0.96 and jurisdiction_match > 0 then 'match' else 'reject' end decision,
+  case when identifier_match = 1 then 0.99 when jurisdiction_match < 0 then 0.85 when contained >= 0.99 and jurisdiction_match > 0 then 0.88 when name_jaro >= 0.92 and address_overlap >= 0.5 then 0.82 when name_jaro >= 0.96 and jurisdiction_match > 0 then 0.78 else 0.6 end confidence
+  from sc where decision = 'review' order by a, b limit 400),
+ac as (select sc.a, sc.b, case when sc.decision = 'match' then score else least(score, ru.confidence) end strength from sc left join ru on sc.a = ru.a and sc.b = ru.b where sc.decision = 'match' or (sc.decision = 'review' and ru.decision = 'match'))
+"""
+
+
+def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resolution.score_pairs(_part_records(spark, sf_dir), _part_pairs(spark, sf_dir))
+
+
+@query(_SCORES_SQL + "select a, b, round(name_jaro, 6) name_jaro, round(name_token_jaccard, 6) name_token_jaccard, phonetic_match, round(address_overlap, 6) address_overlap, jurisdiction_match, identifier_match, round(score, 6) score, decision from sc")
+def pair_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rounded = [F.round(c, 6).alias(c) for c in ("name_jaro", "name_token_jaccard", "address_overlap", "score")]
+    return _scores(spark, sf_dir).select("a", "b", *rounded, "phonetic_match", "jurisdiction_match", "identifier_match", "decision")
+
+
+@query(_SCORES_SQL + "select a, b, decision, confidence from ru")
+def rulings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resolution.adjudicate(_scores(spark, sf_dir)).select("a", "b", "decision", "confidence")
+
+
+_ENTITIES_SQL = (_SCORES_SQL + """, e2 as (select a, b from ac union select b, a from ac), z(n, l) as (select p_partkey, p_partkey from part union select e2.b, z.l from z join e2 on z.n = e2.a),
+co as (select n, min(l) c from z group by n), wk as (select c, min(strength) weakest from ac join co on ac.a = co.n group by c),
+en as (select 'E-' || c entity_id, arg_min(p_name, lpad((100 - len(p_name))::varchar, 3, '0') || lpad(n::varchar, 12, '0')) canonical_name, count(*) n_records, count(distinct p_brand) n_sources, any_value(c) c from co join part on n = p_partkey group by co.c),
+fin as (select entity_id, canonical_name, n_records, n_sources, coalesce(weakest, 1.0) weakest_link from en left join wk on en.c = wk.c)
+""").replace("with k", "with recursive k", 1)
+
+
+def _entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = resolution.written(_scores(spark, sf_dir))
+    return resolution.entities(_part_records(spark, sf_dir), resolution.written(resolution.accepted_pairs(scores, resolution.adjudicate(scores))))
+
+
+@query(_ENTITIES_SQL + "select entity_id, canonical_name, n_records, n_sources, round(weakest_link, 6) weakest_link from fin")
+def entity_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _entities(spark, sf_dir)
+    return e.select("entity_id", "canonical_name", F.size("record_ids").cast("bigint").alias("n_records"), F.size("sources").cast("bigint").alias("n_sources"), F.round("weakest_link", 6).alias("weakest_link"))
+
+
+@query(_ENTITIES_SQL + "select count(*) entities, count(*) filter (where n_records = 1) singletons, max(n_records)::int largest, count(*) filter (where n_sources > 1) cross_source, round(min(weakest_link), 6) weakest_link_min from fin")
+def cluster_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resolution.cluster_summary(_entities(spark, sf_dir)).select("entities", "singletons", "largest", "cross_source", F.round("weakest_link_min", 6).alias("weakest_link_min"))
+
+
+_TRUTH_SQL = _SCORES_SQL + """, cl as (select p_partkey r, p_name || '|' || p_brand || '|' || p_type c from part), t as (select x.r a, y.r b from cl x join cl y on x.c = y.c and x.r < y.r)
+"""
+
+
+def _truth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resolution.true_pairs(_parts(spark, sf_dir).select("record_id", F.concat_ws("|", "p_name", "p_brand", "p_type").alias("cluster_id")))
+
+
+@query(_TRUTH_SQL + "select count(*) true_pairs, count(pairs.a) found, case when count(*) > 0 then count(pairs.a) / count(*) else 0 end recall from t left join pairs on t.a = pairs.a and t.b = pairs.b")
+def blocking_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resolution.candidate_recall(_part_pairs(spark, sf_dir), _truth(spark, sf_dir))
+
+
+@query(_TRUTH_SQL + "select a, b from pairs except select a, b from t")
+def negative_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluation.negatives(_part_pairs(spark, sf_dir), _truth(spark, sf_dir), _parts(spark, sf_dir))
+
+
+@query("""select s_nationkey::bigint parent, c_nationkey::bigint child, l_returnflag interest_type, max(l_discount * 100) share_percent, max(1 - l_tax) confidence, count(*) n_statements, min(l_orderkey * 10 + l_linenumber) edge_seq
+from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey join supplier on l_suppkey = s_suppkey group by 1, 2, 3""")
+def edge_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = lambda n: table(spark, sf_dir, n)
+    j = t("lineitem").join(t("orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey")).join(t("customer").select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey")).join(t("supplier").select("s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey"))
+    seq = (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("stmt_seq")
+    s = j.select(F.col("s_nationkey").cast("bigint").alias("parent"), F.col("c_nationkey").cast("bigint").alias("child"), F.col("l_returnflag").alias("interest_type"), (F.col("l_discount") * 100).alias("share_percent"), (1 - F.col("l_tax")).alias("confidence"), seq, F.lit("").alias("statement_id"))
+    return ownership.merged(s).drop("statements")
+
+
+@query()
+def weight_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    truth = _truth(spark, sf_dir).withColumn("yes", F.lit(True))
+    t = _scores(spark, sf_dir).join(truth, ["a", "b"], "left").withColumn("label", F.coalesce("yes", F.lit(False)))
+    return evaluation.fit(t, trials=40)
