@@ -469,3 +469,29 @@ def weight_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     truth = _truth(spark, sf_dir).withColumn("yes", F.lit(True))
     t = _scores(spark, sf_dir).join(truth, ["a", "b"], "left").withColumn("label", F.coalesce("yes", F.lit(False)))
     return evaluation.fit(t, trials=40)
+
+
+_DRIFT_SQL = """
+with b as (select upper(substr(p_type, 1, 2)) j, p_brand s, len(list_filter(string_split(p_name, ' '), lambda w: len(w) >= 3)) n from part), c as (select * from b union all select b.* from b, range(4) where j = 'ME'),
+x as (select 'jurisdiction_mix' signal, j v, 0 side from b union all select 'jurisdiction_mix', j, 1 from c union all select 'source_mix', s, 0 from b union all select 'source_mix', s, 1 from c union all select 'name_shape', n::varchar, 0 from b union all select 'name_shape', n::varchar, 1 from c),
+t as (select signal, v, greatest(1e-6, count(*) filter (where side = 0) / (select count(*) from b)) p, greatest(1e-6, count(*) filter (where side = 1) / (select count(*) from c)) q from x group by signal, v),
+r as (select signal, sum((q - p) * ln(q / p)) val from t group by signal)
+select signal, round(val, 6) "value", case when val < 0.1 then 'stable' when val < 0.25 then 'investigate' else 'alert' end status, (select case when max(val) < 0.1 then 'stable' when max(val) < 0.25 then 'investigate' else 'alert' end from r) overall from r
+"""
+
+
+@query(_DRIFT_SQL)
+def designation_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = table(spark, sf_dir, "part").select(F.col("p_type").alias("jurisdiction"), F.col("p_brand").alias("source"), F.col("p_name").alias("name"))
+    return drift.run_monitors(r, drift.simulate_designation_round(r, "ME", 4)).select("signal", F.round("value", 6).alias("value"), "status", "overall")
+
+
+@query(_BM25_SQL + """, o as (select item_id, doc_id, count(*) hits from q join tf using (term) group by item_id, doc_id), rel as (select item_id, doc_id from (select *, row_number() over (partition by item_id order by hits desc, doc_id) k from o) where k <= 3),
+h as (select rel.item_id, count(*) want, count(r.doc_id) got, min(rank) first from rel left join (select * from r where rank <= 5) r on rel.item_id = r.item_id and rel.doc_id = r.doc_id group by rel.item_id)
+select round(avg(got / want), 9) recall, round(avg(got / 5), 9) "precision", round(avg(coalesce(1.0 / first, 0)), 9) mrr from h""")
+def retrieval_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), F.explode(F.array_distinct(retrieval.tokenize(F.col("text")))).alias("term"))
+    q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"), F.explode(F.array_distinct(retrieval.tokenize(F.col("text")))).alias("term"))
+    relevant = retrieval.top_k(d.join(q, "term").groupBy("query", "doc").agg(F.count(F.lit(1)).alias("score")), 3).select("query", "doc")
+    m = retrieval.retrieval_metrics(_bm25(spark, sf_dir, 5), relevant, 5)
+    return m.select(*[F.round(c, 9).alias(c) for c in m.columns])
