@@ -17,14 +17,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import blank_split, mapped, saved
+from .common import blank_split, fits_broadcast, mapped, saved
 
 MOST = 2
 SHARE = 1.5
 WEIGHTS = (3, 1, 2)
 ROUNDS = 40
+LARGE = 700.0
+#: Tasks that write the table of duals, which has a row for each source.
+STATE_PARTS = 4
 #: Rows of one source and size are ranked in parts of about this many rows, so that no task gets a large group.
-PART_ROWS = 2_000
+PART_ROWS = 512
 MOST_PARTS = 4_096
 
 
@@ -65,11 +68,14 @@ def duals(histogram: DataFrame, goal: DataFrame, most: int = MOST) -> DataFrame:
     h = histogram.where("size > 0")
     mean = h.groupBy("source").agg((F.sum(F.col("size") * F.col("n")) / F.sum("n")).alias("mean"))
     g = goal.join(mean, goal["source"].eqNullSafe(mean["source"]), "left").select(goal["source"], "source_size", "target", "mean")
-    state = g.withColumn("low", F.lit(-700.0)).withColumn("high", F.lit(700.0)).withColumn("dual", F.lit(0.0))
-    state = saved(state.withColumn("done", F.col("source_size") == 0), "duals")
+    # a target at the cap needs every rate at its most, which is the limit of large duals
+    capped = F.col("target") >= most * F.col("source_size") * (1 - 1e-12)
+    state = g.withColumn("low", F.lit(-LARGE)).withColumn("high", F.lit(LARGE)).withColumn("dual", F.when(capped, LARGE).otherwise(0.0))
+    state = saved(state.withColumn("done", capped).coalesce(STATE_PARTS), "duals")
+    few = fits_broadcast(state, 100_000)
     for _ in range(ROUNDS):
         s = state.select(F.col("source").alias("__s"), "mean", "dual", "target", "done")
-        e = h.join(F.broadcast(s) if s.limit(100_001).count() <= 100_000 else s, h["source"].eqNullSafe(F.col("__s"))).where("not done")
+        e = h.join(F.broadcast(s) if few else s, h["source"].eqNullSafe(F.col("__s"))).where("not done")
         rate = _rate(F.col("size"), F.col("mean"), F.col("dual"), most)
         moved = e.select("source", "mean", (F.col("n") * F.col("size") * rate).alias("words"), F.when(rate < most, F.col("n") * F.col("size") * rate * F.col("size") / F.col("mean")).otherwise(0.0).alias("slope"))
         sums = moved.groupBy("source").agg(F.sum("words").alias("words"), F.sum("slope").alias("slope")).withColumnRenamed("source", "__s")
@@ -82,7 +88,7 @@ def duals(histogram: DataFrame, goal: DataFrame, most: int = MOST) -> DataFrame:
         nxt = F.when(inside, step).otherwise((F.col("low") + F.col("high")) / 2)
         j = j.withColumn("next", F.when(F.col("done") | near | gap.isNull(), F.col("dual")).otherwise(nxt))
         j = j.withColumn("done", F.col("done") | F.coalesce(near, F.lit(True)) | (F.abs(F.col("next") - F.col("dual")) <= 1e-12 * (1 + F.abs(F.col("dual")))))
-        state = saved(j.select("source", "source_size", "target", "mean", "low", "high", F.col("next").alias("dual"), "done"), "duals")
+        state = saved(j.select("source", "source_size", "target", "mean", "low", "high", F.col("next").alias("dual"), "done").coalesce(STATE_PARTS), "duals")
         if not state.where("not done").limit(1).count():
             break
     return state
@@ -109,11 +115,10 @@ def mixed(documents: DataFrame, share: float = SHARE, weights: tuple[int, ...] =
     of one source and size go by a hash of the doc_id, so reruns agree. Repeated rows count as documents each."""
     docs = saved(sizes(documents), "sizes")
     histogram = saved(docs.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")), "histogram")
-    state = duals(histogram, saved(targets(histogram, share, weights, most), "targets"), most)
+    state = duals(histogram, saved(targets(histogram, share, weights, most).coalesce(STATE_PARTS), "targets"), most)
     # rounded, as the order of a distributed sum may move the last digits from run to run
     s = state.select(F.col("source").alias("__s"), "source_size", "target", "mean", F.round("dual", 9).alias("dual"))
-    small = s.limit(100_001).count() <= 100_000
-    rated = histogram.join(F.broadcast(s) if small else s, histogram["source"].eqNullSafe(F.col("__s"))).drop("__s")
+    rated = histogram.join(F.broadcast(s) if fits_broadcast(state, 100_000) else s, histogram["source"].eqNullSafe(F.col("__s"))).drop("__s")
     rated = rated.withColumn("rate", F.when(F.col("size") > 0, _rate(F.col("size"), F.col("mean"), F.col("dual"), most)).otherwise(0.0))
     # a group is a source's distinct sizes: as many rows as there are lengths of documents, however many documents
     copies = rated.where("size > 0").select("source", "size", "n", "rate").groupBy("source").applyInPandas(_whole(most), "source string, size bigint, copies bigint")
