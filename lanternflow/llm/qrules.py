@@ -115,9 +115,10 @@ def thresholds(stats: DataFrame) -> DataFrame:
     fences = quantile.groupBy("level", "lang", "source").agg(F.max("all").alias("all"), *[F.max(F.when(F.col("rule") == c, fence)).alias(f"__t_{c}") for c in RULES])
     own = fences.where("level = 0").alias("a")
     by_lang = fences.where(f"level = 1 and all >= {LEAST_DOCUMENTS}").alias("b")
-    over_all = fences.where("level = 2").alias("c")
-    near = own.join(by_lang, F.col("a.lang").eqNullSafe(F.col("b.lang")), "left").withColumn("__two", F.lit(2)).join(over_all, F.col("__two") == F.col("c.level"), "left")
-    return saved(near.select(F.col("a.lang").alias("lang"), F.col("a.source").alias("source"), *[F.when(F.col("a.all") >= LEAST_DOCUMENTS, F.col(f"a.__t_{c}")).otherwise(F.coalesce(F.col(f"b.__t_{c}"), F.col(f"c.__t_{c}"))).alias(f"__t_{c}") for c in RULES]), "fences")
+    over_all = fences.where("level = 2").first()  # a single row
+    last = {c: F.lit(over_all[f"__t_{c}"] if over_all else None).cast("double") for c in RULES}
+    near = own.join(by_lang, F.col("a.lang").eqNullSafe(F.col("b.lang")), "left")
+    return saved(near.select(F.col("a.lang").alias("lang"), F.col("a.source").alias("source"), *[F.when(F.col("a.all") >= LEAST_DOCUMENTS, F.col(f"a.__t_{c}")).otherwise(F.coalesce(F.col(f"b.__t_{c}"), last[c])).alias(f"__t_{c}") for c in RULES]), "fences")
 
 
 def judged(stats: DataFrame, fences: DataFrame) -> DataFrame:
