@@ -50,10 +50,12 @@ def frequent_lines(documents: DataFrame, min_length: int = MIN_LENGTH, min_docum
     each = mapped(documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")), hashes, "doc_id bigint, hash binary")
     # a key that is frequent for sure has many rows; counts come from partial sums, so no task gets a key's rows
     pairs = saved(each, "lines")
-    counts = pairs.groupBy("hash").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") >= min_documents).select("hash")
+    # the frequent keys are tables of their own: then both sides of a join are plain shuffles, and adaptive execution can
+    # split the rows of a hot key, or broadcast the keys if they are few
+    counts = saved(pairs.groupBy("hash").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") >= min_documents).select("hash"), "keys")
     some = pairs.join(counts, "hash", "left_semi")
-    some = some.groupBy("hash", "doc_id").agg(F.lit(1).alias("one"))
-    keep = some.groupBy("hash").agg(F.count("one").alias("n"), F.max("doc_id").alias("last")).where(F.col("n") >= min_documents).select("hash", "last")
+    some = saved(some.groupBy("hash", "doc_id").agg(F.lit(1).alias("one")), "some")
+    keep = saved(some.groupBy("hash").agg(F.count("one").alias("n"), F.max("doc_id").alias("last")).where(F.col("n") >= min_documents).select("hash", "last"), "keep")
     return some.join(keep, "hash").where(~F.col("doc_id").eqNullSafe(F.col("last"))).select("doc_id", "hash")
 
 
