@@ -132,7 +132,7 @@ def scan(text: str | None) -> tuple:
     starts: list[int] = []
     base: set[str] = set()
     more: set[str] = set()
-    doubt, bound = 1.0, None
+    doubt, bound, tagged = 1.0, None, False
     for end, (kind, label, length) in _automaton().iter(joined):
         if kind == "base":
             starts.append(end - length + 1)
@@ -141,7 +141,8 @@ def scan(text: str | None) -> tuple:
         elif kind == "notice":
             more.add(label)
             doubt *= 0.2
-        elif bound is None:
+        elif not tagged:
+            tagged = True  # one pass over the text finds all tags
             for m in _TAG.finditer(text or ""):
                 if known := longest_expression(m[1]):
                     more |= known[0]
