@@ -24,6 +24,8 @@ from pyspark.sql.types import StructType
 BATCH_ROWS = 500
 #: Rows up to which a side may be broadcast; beyond it the same join is shuffled.
 BROADCAST_ROWS = 200_000
+#: And, for rows with strings or arrays of open length, the characters that all of them may have as JSON.
+BROADCAST_CHARS = 64_000_000
 
 _own_folder: list[str] = []
 
@@ -47,9 +49,14 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
-def fits_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """Whether a saved table is small enough to broadcast; counts its rows at most once past the bound."""
-    return df.limit(rows + 1).count() <= rows
+def fits_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS, chars: int | None = None) -> bool:
+    """Whether a saved table is small enough to broadcast: its rows, counted at most once past the bound, and with chars
+    also the length of those rows as JSON, for rows that have no size of their own."""
+    first = df.limit(rows + 1)
+    if chars is None:
+        return first.count() <= rows
+    n, length = first.agg(F.count(F.lit(1)), F.sum(F.length(F.to_json(F.struct("*"))))).first()
+    return n <= rows and (length or 0) <= chars
 
 
 def sized(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fits_broadcast, put_back, result_copies, saved, set_aside, words
+from .common import BROADCAST_CHARS, BROADCAST_ROWS, fits_broadcast, put_back, result_copies, saved, set_aside, words
 
 WINDOW = 8
 MIN_ITEMS = 2
@@ -50,35 +50,51 @@ def _hashed(windows: DataFrame, lengths: list[int]) -> DataFrame:
     return _with_window_hashes(windows.withColumn("w", F.split("window", " ")), lengths).withColumn("hash", hashed)
 
 
-def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_items: int = MIN_ITEMS) -> DataFrame:
+def _matches(docs: DataFrame, lengths: list[int], table: DataFrame, key: list[str], few: bool) -> DataFrame:
+    """A row for each row of docs with first set, and a row for each verified hit with its span and items.
+
+    With few windows their table is broadcast and all comes from one pass over the texts. Else only positions and hashes
+    are shuffled to the windows, and the words of a document meet its candidate hits in a second join, so that no words
+    are repeated for each position."""
+    no_span, no_items = F.lit(None).cast("struct<pos:int,end:int>"), F.lit(None).cast(table.schema["b_items"].dataType)
+    begin, before = F.lit(None).cast("int"), F.lit(1)
+    for n in lengths:
+        begin, before = F.when(F.col("b_len") == n, F.col("at") - before).otherwise(begin), before + F.greatest(F.col("n_words") - (n - 1), F.lit(0))
+    inside = F.col("pos").between(0, F.col("n_words") - F.col("b_len"))
+    same = F.array_join(F.slice("w", F.col("pos") + 1, F.col("b_len")), " ") == F.col("b_window")
+    span = F.struct("pos", (F.col("pos") + F.col("b_len")).alias("end"))
+    all_hashes = F.concat(F.array(F.lit(0).cast("bigint")), *[F.col(f"h{n}") for n in lengths])
+    if few:
+        # each document also looks up a mark, which finds this row: so it stays in an inner join, once
+        table = F.broadcast(table.unionByName(docs.sparkSession.createDataFrame([(0, 0, "", [])], table.schema)))
+        each = docs.select(*key, "w", "n_words", F.posexplode_outer(all_hashes).alias("at", "hash"))  # outer: no filter that computes it again
+        found = each.join(table, F.col("hash") == F.col("b_hash")).withColumn("pos", begin)
+        first = (F.col("at") == 0) & (F.col("b_len") == 0)
+        found = found.withColumn("hit", F.when(F.col("b_len") > 0, inside & same).otherwise(False)).where(first | F.col("hit"))
+        return found.select(*key, "n_words", first.alias("first"), F.when(F.col("hit"), span).alias("span"), F.when(F.col("hit"), F.col("b_items")).alias("items"))
+    firsts = docs.select(*key, "n_words", F.lit(True).alias("first"), no_span.alias("span"), no_items.alias("items"))
+    each = docs.select(*key, "n_words", F.posexplode_outer(all_hashes).alias("at", "hash")).where("at > 0")
+    maybe = each.join(table, F.col("hash") == F.col("b_hash")).withColumn("pos", begin).where(inside).drop("hash", "b_hash", "at")
+    texts = docs.select(*[F.col(c).alias("__" + c) for c in key], "w").dropDuplicates(["__" + c for c in key])
+    hits = maybe.join(texts, [F.col(c).eqNullSafe(F.col("__" + c)) for c in key]).where(same)
+    return firsts.unionByName(hits.select(*key, "n_words", F.lit(False).alias("first"), span.alias("span"), F.col("b_items").alias("items")))
+
+
+def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_items: int = MIN_ITEMS, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """For each document doc_id, n_words, n_hit, n_items, item_ids (sorted as strings), spans (array of first and past-last
     word of each covered stretch), contaminated, and text_hash, which with doc_id names the row.
 
     Null, empty and very long texts are documents like others; null item_ids count as no id. Repeated rows each have
-    a result row. An empty benchmark hits nothing."""
+    a result row. An empty benchmark hits nothing. Up to broadcast_rows distinct windows are broadcast."""
     windows = saved(benchmark_windows(benchmark, window), "windows")
     lengths = sorted(r[0] for r in windows.select("len").distinct().collect())  # at most as many as the window has words
     table = _hashed(windows, lengths).select(F.col("hash").alias("b_hash"), F.col("len").alias("b_len"), F.col("window").alias("b_window"), F.col("items").alias("b_items"))
-    # each document also looks up a mark, which finds this row: so it stays in an inner join, once
-    mark = documents.sparkSession.createDataFrame([(0, 0, "", [])], table.schema)
-    table = table.unionByName(mark)
-    table = F.broadcast(table) if fits_broadcast(windows) else table
     key = ["doc_id", "text_hash", "text_length"]
     docs = documents.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), F.coalesce(F.length("text"), F.lit(-1)).alias("text_length"), words(F.col("text")).alias("w"))
-    docs = _with_window_hashes(docs, lengths)
-    all_hashes = F.concat(F.array(F.lit(0).cast("bigint")), *[F.col(f"h{n}") for n in lengths])
-    each = docs.select(*key, "w", F.posexplode_outer(all_hashes).alias("at", "hash"))  # outer: no filter that computes it again
-    begin, before = F.lit(None).cast("int"), F.lit(1)
-    for n in lengths:
-        begin, before = F.when(F.col("b_len") == n, F.col("at") - before).otherwise(begin), before + F.greatest(F.size("w") - (n - 1), F.lit(0))
-    found = each.join(table, F.col("hash") == F.col("b_hash")).withColumn("pos", begin)
-    first = (F.col("at") == 0) & (F.col("b_len") == 0)
-    hit = F.col("pos").between(0, F.size("w") - F.col("b_len")) & (F.array_join(F.slice("w", F.col("pos") + 1, F.col("b_len")), " ") == F.col("b_window"))
-    hit = F.when(F.col("b_len") > 0, hit).otherwise(False)
-    found = found.withColumn("hit", hit).where(first | F.col("hit"))
-    found = found.select(*key, F.size("w").cast("bigint").alias("n_words"), first.alias("first"), F.when(F.col("hit"), F.struct("pos", (F.col("pos") + F.col("b_len")).alias("end"))).alias("span"), F.when(F.col("hit"), F.col("b_items")).alias("items"))
+    docs = _with_window_hashes(docs, lengths).withColumn("n_words", F.size("w"))
+    found = _matches(docs, lengths, table, key, fits_broadcast(windows, broadcast_rows, BROADCAST_CHARS))
     per = found.groupBy(*key).agg(
-        F.max("n_words").alias("n_words"), F.sum(F.col("first").cast("int")).alias("__copies"), F.array_sort(F.collect_set("span")).alias("runs"), F.collect_set("items").alias("items")
+        F.max("n_words").cast("bigint").alias("n_words"), F.sum(F.col("first").cast("int")).alias("__copies"), F.array_sort(F.collect_set("span")).alias("runs"), F.collect_set("items").alias("items")
     )
     merged = F.expr(
         "aggregate(runs, named_struct('done', cast(array() as array<struct<first:int,last:int>>), 'first', -1, 'last', -1),"
@@ -112,7 +128,7 @@ def decontaminated(documents: DataFrame, benchmark: DataFrame, window: int = WIN
     has been checked, else joined by shuffle."""
     hits = contamination(documents, benchmark, window, min_items).where("n_items > 0").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("spans").alias("__spans"), F.col("contaminated").alias("__out")).distinct()
     hits = saved(hits, "hits")
-    side = F.broadcast(hits) if fits_broadcast(hits, 20_000) else hits.hint("shuffle_hash")
+    side = F.broadcast(hits) if fits_broadcast(hits, 20_000, BROADCAST_CHARS) else hits.hint("shuffle_hash")
     on = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("__hash"))
     docs = set_aside(documents, "doc_id", "text", "n_chars")
     joined = docs.join(side, on, "left").where(~F.coalesce("__out", F.lit(False)))

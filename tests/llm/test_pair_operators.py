@@ -44,6 +44,13 @@ def test_contamination_cases(spark, odd):
     assert decontam.contamination(odd.limit(0), bench).count() == 0
 
 
+def test_contamination_without_a_broadcast(spark, odd, small):
+    """The shuffled way gives the rows of the broadcast one."""
+    both = [(odd, spark.createDataFrame(BENCH, "item_id long, text string")), (spark.read.parquet(f"{small}/documents.parquet"), spark.read.parquet(f"{small}/benchmark.parquet"))]
+    for docs, bench in both:
+        assert rows_of(decontam.contamination(docs, bench, broadcast_rows=-1).toPandas().astype(str)) == rows_of(decontam.contamination(docs, bench).toPandas().astype(str))
+
+
 def test_decontaminated_cuts_spans(spark):
     docs = spark.createDataFrame([(1, "Keep, this! A b c d e f g h - and this.", 40, "z"), (2, "b c d e f g h i; X y z", 5, "z"), (3, "nothing", 7, "z"), (4, None, None, "z")], "doc_id long, text string, n_chars long, extra string")
     out = {r.doc_id: r for r in decontam.decontaminated(docs, spark.createDataFrame(BENCH, "item_id long, text string")).collect()}
