@@ -2,10 +2,11 @@
 
 Per-document statistics become ratios. A ratio's distribution per language and source is kept as a mergeable quantile
 sketch: counts of logarithmic bins (relative error GAMMA - 1), so sketches of parts, of sources and of languages add up
-and a rerun gives the same thresholds. A threshold is a fence over the median, as far away as SPREAD times the upper
-quartile's distance from it, and at least the rule's own resolution. Sources of few documents use their language's
-sketch, languages of few documents the sketch of all. Thresholds, a few rows per language and source, are joined to the
-documents and filter them.
+and a rerun gives the same thresholds. A threshold is a fence over the median, as far away as SPREAD times the median's
+distance from the lowest tenth: junk is above, so it reaches neither while it is less than half of a group. Half the
+rule's own resolution is the least distance, and all of it where the lowest tenth is 0, which says nothing of the spread.
+Sources of few documents use their language's sketch, languages of few documents the sketch of all. Thresholds, a few
+rows per language and source, are joined to the documents and filter them.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ GAMMA = 1.02
 FLOOR = 1e-4
 SPREAD = 8.0
 LEAST_DOCUMENTS = 200
-#: ratio -> the distance over the median below which nothing fails
+#: ratio -> the distance over the median below which nothing fails (half of it where the sketch knows the spread)
 RULES = {"symbol_ratio": 0.05, "repeat_ratio": 0.28, "dup_line_ratio": 0.50, "upper_ratio": 0.25, "top_word_ratio": 0.20, "run_ratio": 0.10}
 _STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 _KINDS = ", ".join(f"{c} bigint" for c in _STATS) + ", " + ", ".join(f"{c} double" for c in RULES)
@@ -109,9 +110,10 @@ def thresholds(stats: DataFrame) -> DataFrame:
     group = Window.partitionBy("level", "lang", "source", "rule")
     ranked = levels.withColumn("upto", F.sum("n").over(group.orderBy("bin"))).withColumn("all", F.sum("n").over(group))
     value = F.when(F.col("bin") == 0, F.lit(0.0)).otherwise(FLOOR * F.pow(F.lit(GAMMA), F.col("bin")))
-    quantile = ranked.groupBy("level", "lang", "source", "rule").agg(F.max("all").alias("all"), F.min(F.when(2 * F.col("upto") >= F.col("all"), value)).alias("q2"), F.min(F.when(4 * F.col("upto") >= 3 * F.col("all"), value)).alias("q3"))
+    quantile = ranked.groupBy("level", "lang", "source", "rule").agg(F.max("all").alias("all"), F.min(F.when(2 * F.col("upto") >= F.col("all"), value)).alias("q2"), F.min(F.when(10 * F.col("upto") >= F.col("all"), value)).alias("low"))
     resolution = F.create_map(*[F.lit(x) for pair in RULES.items() for x in pair])[F.col("rule")]
-    fence = F.col("q2") + F.greatest(SPREAD * (F.col("q3") - F.col("q2")), resolution)
+    least = F.when(F.col("low") > 0, resolution / 2).otherwise(resolution)
+    fence = F.col("q2") + F.greatest(SPREAD * (F.col("q2") - F.col("low")), least)
     fences = quantile.groupBy("level", "lang", "source").agg(F.max("all").alias("all"), *[F.max(F.when(F.col("rule") == c, fence)).alias(f"__t_{c}") for c in RULES])
     own = fences.where("level = 0").alias("a")
     by_lang = fences.where(f"level = 1 and all >= {LEAST_DOCUMENTS}").alias("b")

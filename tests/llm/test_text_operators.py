@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import random
 import re
 from zlib import crc32
 
@@ -79,6 +80,25 @@ def test_quality_rules(spark, texts):
     assert clean_lost <= 2 and junk_kept <= 2
 
 
+@pytest.mark.parametrize("share", [0.3, 0.4])
+def test_quality_rules_with_much_junk_in_a_source(spark, share):
+    rng = random.Random(7)
+    made = lambda: [rng.choice("bcdfglmnprst") + rng.choice("aeiou") + str(rng.randrange(1000)) for _ in range(80)]
+    n, junk = 400, int(400 * share)
+    rows = [(i, " ".join(w + "#$%&"[: 1 + i % 4] if i < junk else w for w in made()), "en", "s") for i in range(n)]
+    kept = {r.doc_id for r in qrules.rules(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).where("kept").collect()}
+    assert kept == set(range(junk, n))
+
+
+def test_fences_tighten_and_loosen(spark):
+    """Texts of a most frequent word: half of the resolution where all have nearly the same share, far more where it spreads."""
+    text = lambda i, top: " ".join(x for k in range(200) for x in ([f"t{k}"] * (k == 0) + ["the"] * (k < top) + [f"w{i}x{k}"]))
+    rows = [(i, text(i, 10 + i % 3), "en", "narrow") for i in range(300)] + [(1000 + i, text(i, 2 + i % 60), "en", "broad") for i in range(300)]
+    f = {r.source: r["__t_top_word_ratio"] for r in qrules.thresholds(qrules.measured(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"))).collect()}
+    full = qrules.RULES["top_word_ratio"]
+    assert f["narrow"] < 11 / 212 + 0.75 * full and f["broad"] > 0.13 + 2 * full
+
+
 @pytest.mark.parametrize(("name", "operator", "label", "cut", "least"), [("quality", quality.op3_quality, "quality", 0.5, 0.97), ("toxicity", toxicity.op10_toxicity, "toxic", 0.7, 0.93)])
 def test_classifiers_on_held_out_rows(spark, name, operator, label, cut, least):
     labels = {r.doc_id: r[label] for r in spark.read.parquet(f"{LARGER}/labels.parquet").collect()}
