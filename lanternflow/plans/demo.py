@@ -199,23 +199,57 @@ def trade_bfs(spark: SparkSession, sf_dir: str) -> DataFrame:
 _PATHS_SQL = _TRADE_SQL + "b(root, node, nodes, prod, depth) as (select n_nationkey::bigint, n_nationkey::bigint, [n_nationkey::bigint], 1.0::double, 0 from nation union all select root, c, list_append(nodes, c), prod * share / 100, depth + 1 from b join e on node = p where depth < 5 and not list_contains(nodes, c))"
 
 
+def _trade_paths(spark: SparkSession, sf_dir: str, depth: int) -> DataFrame:
+    p = ownership.paths(_trade(spark, sf_dir), _nations(spark, sf_dir), depth, None)
+    return p.select("root", F.array_join(F.transform("nodes", lambda x: x.cast("string")), ">").alias("path"), F.round("product", 9).alias("product"))
+
+
+def _trade_effective(spark: SparkSession, sf_dir: str, depth: int) -> DataFrame:
+    p = ownership.paths(_trade(spark, sf_dir), _nations(spark, sf_dir), depth, None)
+    return ownership.effective_shares(p).select("root", "child", F.round("effective", 6).alias("effective"))
+
+
+def _trade_betweenness(spark: SparkSession, sf_dir: str, depth: int) -> DataFrame:
+    p = resolution.written(ownership.paths(_trade(spark, sf_dir), _nations(spark, sf_dir), depth, None))
+    return ownership.betweenness(p).select("node", F.round("centrality", 9).alias("centrality"), "roots_served")
+
+
 @query(_PATHS_SQL + " select root, array_to_string(nodes, '>') path, round(prod, 9) product from b where depth > 0")
 def trade_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = ownership.paths(_trade(spark, sf_dir), _nations(spark, sf_dir), 5, None)
-    return p.select("root", F.array_join(F.transform("nodes", lambda x: x.cast("string")), ">").alias("path"), F.round("product", 9).alias("product"))
+    return _trade_paths(spark, sf_dir, 5)
 
 
 @query(_PATHS_SQL + " select root, node child, round(100 * max(prod), 6) effective from b where depth > 0 group by root, node")
 def trade_effective(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = ownership.paths(_trade(spark, sf_dir), _nations(spark, sf_dir), 5, None)
-    return ownership.effective_shares(p).select("root", "child", F.round("effective", 6).alias("effective"))
+    return _trade_effective(spark, sf_dir, 5)
 
 
 @query(_PATHS_SQL + """, i as (select root, unnest(nodes[2:len(nodes) - 1]) node from b where depth > 0)
 select node, round(count(*) / (select count(*) from b where depth > 0), 9) centrality, count(distinct root) roots_served from i group by node""")
 def trade_betweenness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = resolution.written(ownership.paths(_trade(spark, sf_dir), _nations(spark, sf_dir), 5, None))
-    return ownership.betweenness(p).select("node", F.round("centrality", 9).alias("centrality"), "roots_served")
+    return _trade_betweenness(spark, sf_dir, 5)
+
+
+# The three above stop at depth 5, as their SQL does; these go as deep as the operator, and so does their own SQL.
+
+
+def _deeper(sql: str, depth: int) -> str:
+    return sql.replace("depth < 5", f"depth < {depth}")
+
+
+@query(_deeper(SQL["trade_paths"], ownership.MAX_DEPTH))
+def trade_paths_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _trade_paths(spark, sf_dir, ownership.MAX_DEPTH)
+
+
+@query(_deeper(SQL["trade_effective"], ownership.MAX_DEPTH))
+def trade_effective_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _trade_effective(spark, sf_dir, ownership.MAX_DEPTH)
+
+
+@query(_deeper(SQL["trade_betweenness"], ownership.CENTRALITY_DEPTH))
+def trade_betweenness_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _trade_betweenness(spark, sf_dir, ownership.CENTRALITY_DEPTH)
 
 
 @query(_TRADE_SQL + """b(start, node, nodes) as (select p, c, [p, c] from e where p < c union all select start, c, list_append(nodes, c) from b join e on node = p where c > start and not list_contains(nodes, c) and len(nodes) < 8)
