@@ -105,14 +105,28 @@ def evaluate(expression: str) -> tuple[set[str], int]:
 
 
 def longest_expression(text: str) -> tuple[set[str], int] | None:
-    """Of the text behind a tag, the longest leading part that is an expression."""
-    parts = list(_PART.finditer(text))
-    for end in range(min(len(parts), 64), 0, -1):
-        try:
-            return evaluate(text[: parts[end - 1].end()])
-        except ExpressionError:
-            continue
-    return None
+    """Of the text behind a tag, the longest leading part that is an expression. One pass finds it: it ends where an operand
+    was last seen and no bracket was open, before the first part that fits no more. Shorter ones name nothing that it doesn't."""
+    end = opened = 0
+    operand = False
+    for m in _PART.finditer(text):
+        part = m[0]
+        if operand != (part == ")" or part.lower() in _BINDS):
+            break
+        if part == "(":
+            opened += 1
+        elif part == ")":
+            if not opened:
+                break
+            opened -= 1
+        else:
+            operand = not operand
+        if operand and not opened:
+            end = m.end()
+    try:
+        return evaluate(text[:end])
+    except ExpressionError:
+        return None
 
 
 @cache

@@ -46,6 +46,26 @@ def test_expressions():
     assert license.scan("mit license mit license")[1:4] == (2, 0, 2)
 
 
+def test_long_expressions():
+    many = " AND ".join(["MIT"] * 300)
+    assert license.scan(f"SPDX-License-Identifier: {many} AND AGPL-3.0-only")[5::2] == ("agpl,mit", 3)
+    assert license.scan(f"SPDX-License-Identifier: ({many} AND AGPL-3.0-only) applies")[5::2] == ("agpl,mit", 3)
+    assert license.scan("SPDX-License-Identifier: " + "(" * 5000 + "MIT" + ")" * 5000)[5::2] == ("mit", 0)
+
+    def shortened(parts: list[str]) -> tuple[set[str], int] | None:
+        for end in range(len(parts), 0, -1):
+            try:
+                return license.evaluate(" ".join(parts[:end]))
+            except license.ExpressionError:
+                continue
+        return None
+
+    rng = random.Random(3)
+    for _ in range(4000):
+        parts = rng.choices(["MIT", "GPL-2.0", "unknown", "OR", "AND", "with", "(", ")"], [4, 4, 2, 4, 4, 2, 2, 3], k=rng.randrange(1, 25))
+        assert license.longest_expression(" ".join(parts)) == shortened(parts)
+
+
 def test_secrets(spark, texts):
     assign = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
     for r in secrets.op8_secrets(spark, LARGER).collect():
