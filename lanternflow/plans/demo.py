@@ -502,7 +502,7 @@ def edge_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 def weight_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     truth = _truth(spark, sf_dir).withColumn("yes", F.lit(True))
     t = _scores(spark, sf_dir).join(truth, ["a", "b"], "left").withColumn("label", F.coalesce("yes", F.lit(False)))
-    return evaluation.fit(t, trials=40)
+    return evaluation.fit(t)
 
 
 _DRIFT_SQL = """
