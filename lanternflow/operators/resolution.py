@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 import tempfile
 import uuid
 
@@ -151,12 +152,22 @@ def ruling() -> Column:
     )
 
 
-def adjudicate(scores: DataFrame, cap: int = REVIEW_CAP) -> DataFrame:
-    """Rulings on the pairs under review; the first cap of them in pair order, which is this operator's rule."""
-    first = scores.where("decision = 'review'").orderBy("a", "b").limit(cap)
+def adjudicate(scores: DataFrame, cap: int | None = REVIEW_CAP) -> DataFrame:
+    """Rulings on the pairs under review; the first cap of them in pair order, which is this operator's rule, or all for
+    None. ruling_counts() says how many lie past the cap: these count as rejected."""
+    first = scores.where("decision = 'review'")
+    if cap is not None:
+        first = first.orderBy("a", "b").limit(cap)
     return first.select("a", "b", ruling().alias("r")).select("a", "b", "r.*")
 
 
+def ruling_counts(scores: DataFrame, rulings: DataFrame) -> DataFrame:
+    """A row: borderline_total (pairs under review), reviewed, truncated (those past the cap), upheld_as_match, rejected."""
+    total = scores.agg(F.count_if(F.col("decision") == "review").alias("borderline_total"))
+    ruled = rulings.agg(F.count(F.lit(1)).alias("reviewed"), F.count_if(F.col("decision") == "match").alias("upheld_as_match"), F.count_if(F.col("decision") == "reject").alias("rejected"))
+    return total.crossJoin(ruled).select("borderline_total", "reviewed", (F.col("borderline_total") - F.col("reviewed")).alias("truncated"), "upheld_as_match", "rejected")
+
+
 def accepted_pairs(scores: DataFrame, rulings: DataFrame) -> DataFrame:
     """a, b, strength of the pairs to merge."""
     r = rulings.select("a", "b", F.col("decision").alias("verdict"), "confidence")
@@ -209,8 +220,12 @@ def record_to_entity(found: DataFrame) -> DataFrame:
     return found.select("entity_id", F.explode("record_ids").alias("record_id"))
 
 
-def resolve(records: DataFrame) -> DataFrame:
-    """records -> entities, by all steps."""
+def resolve(records: DataFrame, cap: int | None = REVIEW_CAP) -> DataFrame:
+    """records -> entities, by all steps. cap: pairs to rule on, None for all; a warning says how many lie past it."""
     pairs = written(candidate_pairs(blocking_keys(records)))
     scores = written(score_pairs(records, pairs))
-    return entities(records, written(accepted_pairs(scores, adjudicate(scores))))
+    rulings = written(adjudicate(scores, cap))
+    counts = ruling_counts(scores, rulings).first()
+    if counts["truncated"]:
+        logging.getLogger(__name__).warning("%d of %d pairs under review lie past the cap of %d and stay apart", counts["truncated"], counts["borderline_total"], cap)
+    return entities(records, written(accepted_pairs(scores, rulings)))

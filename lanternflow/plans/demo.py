@@ -443,8 +443,14 @@ def pair_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(_SCORES_SQL + "select a, b, decision, confidence from ru")
-def rulings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return resolution.adjudicate(_scores(spark, sf_dir)).select("a", "b", "decision", "confidence")
+def rulings(spark: SparkSession, sf_dir: str, cap: int | None = resolution.REVIEW_CAP) -> DataFrame:
+    return resolution.adjudicate(_scores(spark, sf_dir), cap).select("a", "b", "decision", "confidence")
+
+
+@query(_SCORES_SQL + "select n borderline_total, count(a) reviewed, n - count(a) truncated, count(*) filter (where decision = 'match') upheld_as_match, count(*) filter (where decision = 'reject') rejected from (select count(*) n from sc where decision = 'review') left join ru on true group by n")
+def ruling_counts(spark: SparkSession, sf_dir: str, cap: int | None = resolution.REVIEW_CAP) -> DataFrame:
+    scores = resolution.written(_scores(spark, sf_dir))
+    return resolution.ruling_counts(scores, resolution.adjudicate(scores, cap))
 
 
 _ENTITIES_SQL = (_SCORES_SQL + """, e2 as (select a, b from ac union select b, a from ac), z(n, l) as (select p_partkey, p_partkey from part union select e2.b, z.l from z join e2 on z.n = e2.a),
@@ -454,20 +460,20 @@ fin as (select entity_id, canonical_name, n_records, n_sources, coalesce(weakest
 """).replace("with k", "with recursive k", 1)
 
 
-def _entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _entities(spark: SparkSession, sf_dir: str, cap: int | None) -> DataFrame:
     scores = resolution.written(_scores(spark, sf_dir))
-    return resolution.entities(_part_records(spark, sf_dir), resolution.written(resolution.accepted_pairs(scores, resolution.adjudicate(scores))))
+    return resolution.entities(_part_records(spark, sf_dir), resolution.written(resolution.accepted_pairs(scores, resolution.adjudicate(scores, cap))))
 
 
 @query(_ENTITIES_SQL + "select entity_id, canonical_name, n_records, n_sources, round(weakest_link, 6) weakest_link from fin")
-def entity_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = _entities(spark, sf_dir)
+def entity_rollup(spark: SparkSession, sf_dir: str, cap: int | None = resolution.REVIEW_CAP) -> DataFrame:
+    e = _entities(spark, sf_dir, cap)
     return e.select("entity_id", "canonical_name", F.size("record_ids").cast("bigint").alias("n_records"), F.size("sources").cast("bigint").alias("n_sources"), F.round("weakest_link", 6).alias("weakest_link"))
 
 
 @query(_ENTITIES_SQL + "select count(*) entities, count(*) filter (where n_records = 1) singletons, max(n_records)::int largest, count(*) filter (where n_sources > 1) cross_source, round(min(weakest_link), 6) weakest_link_min from fin")
-def cluster_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return resolution.cluster_summary(_entities(spark, sf_dir)).select("entities", "singletons", "largest", "cross_source", F.round("weakest_link_min", 6).alias("weakest_link_min"))
+def cluster_summary(spark: SparkSession, sf_dir: str, cap: int | None = resolution.REVIEW_CAP) -> DataFrame:
+    return resolution.cluster_summary(_entities(spark, sf_dir, cap)).select("entities", "singletons", "largest", "cross_source", F.round("weakest_link_min", 6).alias("weakest_link_min"))
 
 
 _TRUTH_SQL = _SCORES_SQL + """, cl as (select p_partkey r, p_name || '|' || p_brand || '|' || p_type c from part), t as (select x.r a, y.r b from cl x join cl y on x.c = y.c and x.r < y.r)
