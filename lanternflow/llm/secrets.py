@@ -4,6 +4,7 @@ Matches and what lies between them come from two passes of one expression, so th
 Each value found is hashed; over the corpus the hashes are counted by distinct repositories (documents) and owners
 (sources). A value that many owners share is a copied example; one that belongs to few looks live. Ownership decides on
 the spans that this method adds to the base ones: long mixed tokens and bearer strings count only while they look live.
+Only owners decide. Repositories don't: one owner's own credential may stand in any number of its documents.
 """
 
 from __future__ import annotations
@@ -67,7 +68,8 @@ def _value(s: Column) -> Column:
 
 def ownership(found: DataFrame) -> DataFrame:
     """hash of a candidate value, repositories, owners: distinct documents and sources that hold it. Pairs are made
-    distinct first, so a value that a third of all rows hold is counted in parts. A null counts as one of its own."""
+    distinct first, so a value that a third of all rows hold is counted in parts. A null counts as one of its own. The
+    verdict of secrets() reads owners only."""
     each = found.select("doc_id", "source", F.explode(F.concat("base", "added")).alias("s")).select("doc_id", "source", F.xxhash64(_value(F.col("s"))).alias("hash"))
     repos = each.groupBy("hash", "source", "doc_id").agg(F.lit(1).alias("one"))
     owners = repos.groupBy("hash", "source").agg(F.count("one").alias("documents"))
