@@ -7,10 +7,14 @@ Conventions that every operator of this package follows:
 * A null text is an empty text. A null doc_id is a document id of its own that is equal to itself.
 * Repeated rows each get their own result row.
 * An empty table gives an empty result with the same columns.
+* A very long text is read whole, by one task, in a batch of its own if need be: Spark bounds an Arrow batch by its bytes,
+  and mapped() hands it on in slices. Nothing grows with more than the length of that one text.
+* Ties are broken by the smallest doc_id, then by a hash of the text, so that reruns agree.
 """
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -20,8 +24,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-#: Rows in one Arrow batch: with texts of some hundred kB a batch stays far below an executor's memory.
+#: Rows, and bytes on average, of the slices of an Arrow batch that a function gets at once.
 BATCH_ROWS = 500
+BATCH_BYTES = 8 << 20
 #: Rows up to which a side may be broadcast; beyond it the same join is shuffled.
 BROADCAST_ROWS = 200_000
 #: And, for rows with strings or arrays of open length, the characters that all of them may have as JSON.
@@ -31,10 +36,13 @@ _own_folder: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see; one of our own only where the session names none."""
+    """The folder that the driver and all executors see; one of our own only where the session names none, and only
+    where driver and executors are one process: elsewhere each would write to its own disk."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("on a cluster spark.checkpoint.dir has to name a folder that the driver and all executors share")
     if not _own_folder:
         _own_folder.append("file://" + tempfile.mkdtemp(prefix="lanternflow-"))
     return _own_folder[0]
@@ -64,18 +72,34 @@ def sized(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if fits_broadcast(df, rows) else df
 
 
+def sliced(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of bounded rows and, on average, bytes; an empty one as it is."""
+    step = max(1, min(BATCH_ROWS, BATCH_BYTES * max(1, batch.num_rows) // max(1, batch.nbytes)))
+    for at in range(0, max(1, batch.num_rows), step):
+        yield batch.slice(at, step)
+
+
 def mapped(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
     """function over Arrow batches of bounded size."""
-    if int(df.sparkSession.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
-        df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield function(batch)
+            for part in sliced(batch):
+                yield function(part)
 
     return df.mapInArrow(over, schema)
 
 
+def at_label(rows: DataFrame, few: DataFrame, key: str, salt: str, parts: int = 32) -> DataFrame:
+    """rows left joined with few, a saved table of one row for each value of key. A value may hold a third of rows: few is
+    broadcast behind the check of its size, else rows are dealt to parts by a hash of their column salt, which few repeats."""
+    if fits_broadcast(few):
+        return rows.join(F.broadcast(few), key, "left")
+    salted = rows.withColumn("__part", F.pmod(F.xxhash64(salt), F.lit(parts)).cast("int"))
+    copies = few.withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    return salted.join(copies, [key, "__part"], "left").drop("__part")
+
+
 def set_aside(documents: DataFrame, *needed: str) -> DataFrame:
     """documents with all columns but the needed ones renamed by place, so that no name of theirs can clash."""
     return documents.toDF(*[c if c in needed else f"other{i}" for i, c in enumerate(documents.columns)])
