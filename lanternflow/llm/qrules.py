@@ -1,12 +1,17 @@
 """Quality rules with adaptive thresholds.
 
-Per-document statistics become ratios. A ratio's distribution per language and source is kept as a mergeable quantile
-sketch: counts of logarithmic bins (relative error GAMMA - 1), so sketches of parts, of sources and of languages add up
-and a rerun gives the same thresholds. A threshold is a fence over the median, as far away as SPREAD times the median's
-distance from the lowest tenth: junk is above, so it reaches neither while it is less than half of a group. Half the
-rule's own resolution is the least distance, and all of it where the lowest tenth is 0, which says nothing of the spread.
-Sources of few documents use their language's sketch, languages of few documents the sketch of all. Thresholds, a few
-rows per language and source, are joined to the documents and filter them.
+Per-document statistics become ratios that are above zero in ordinary prose. A ratio's distribution per language and
+source is kept as a mergeable quantile sketch: counts of logarithmic bins (relative error GAMMA - 1), so sketches of
+parts, of sources and of languages add up and a rerun gives the same thresholds. All thresholds come from the sketches:
+
+* the middle of a group is its median, its spread the smaller of median / lowest tenth and highest tenth / median. Junk
+  lies on one side of a ratio, so it widens neither while it is less than half of a group;
+* a group's logarithms of these are averaged with its language's, and the language's with those of all, with the weight
+  of the group's documents against PRIOR documents: small groups lean on larger ones, without a size at which that turns;
+* a group's spread is no less than its language's, as copies may narrow it; the fences are median * spread ** +-REACH.
+
+A document's own ratio is a count of few or many words. It fails a rule if it is beyond the fence by more than MARGIN
+standard errors of that count. Thresholds, a row per language and source, are joined to the documents and filter them.
 """
 
 from __future__ import annotations
@@ -21,15 +26,20 @@ from .common import blank_split, mapped, put_back, saved, set_aside, sized
 
 GAMMA = 1.02
 FLOOR = 1e-4
-SPREAD = 8.0
-LEAST_DOCUMENTS = 200
-#: ratio -> the distance over the median below which nothing fails (half of it where the sketch knows the spread)
-RULES = {"symbol_ratio": 0.05, "repeat_ratio": 0.28, "dup_line_ratio": 0.50, "upper_ratio": 0.25, "top_word_ratio": 0.20, "run_ratio": 0.10}
+REACH = 4.0
+MARGIN = 2.0
+PRIOR = 200.0
+#: ratio -> which fences it has. The ratios are shares of ASCII marks among the characters of words, of A-Z among ASCII
+#: letters, of the most frequent word and of words that differ from the one before, and the mean length of a word.
+RULES = {"mark_ratio": "high", "upper_ratio": "high", "top_word_ratio": "high", "change_ratio": "low", "word_length": "high low"}
+FENCES = [f"{c}_{side}" for c, sides in RULES.items() for side in sides.split()]
 _STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-_KINDS = ", ".join(f"{c} bigint" for c in _STATS) + ", " + ", ".join(f"{c} double" for c in RULES)
+_RATIOS = [*RULES, *(f"n_{c}" for c in RULES)]
+_KINDS = ", ".join(f"{c} bigint" for c in _STATS) + ", " + ", ".join(f"{c} double" for c in _RATIOS)
 _SYMBOLS = b"#*$%&|<>"
 _UPPER = bytes(range(65, 91))
 _LETTERS = _UPPER + bytes(range(97, 123))
+_MARKS = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 
 
 def _repeated(ids: np.ndarray, window: int = 8) -> int:
@@ -46,13 +56,13 @@ def _repeated(ids: np.ndarray, window: int = 8) -> int:
 
 
 def statistics(text: str | None) -> tuple:
-    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, then the ratios of RULES."""
+    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, then the ratios of RULES, then the counts behind them."""
     words = blank_split(text)
     n = len(words)
     raw = (text or "").encode("utf-8", "surrogatepass")
     symbols = len(raw) - len(raw.translate(None, _SYMBOLS))
     if not n:
-        return 0, 0, symbols, 0, 0, *(0.0,) * len(RULES)
+        return 0, 0, symbols, 0, 0, *(0.0,) * len(_RATIOS)
     joined = b"".join(words)
     chars = len(joined) if joined.isascii() else len(joined.decode("utf-8", "surrogatepass"))
     lines = [x for x in raw.split(b"\n") if x.strip(b" \t\v\f\r")]
@@ -60,11 +70,11 @@ def statistics(text: str | None) -> tuple:
     number: dict[bytes, int] = {}
     ids = np.fromiter((number.setdefault(w, len(number)) for w in words), np.int64, n)
     repeated = _repeated(ids) if n >= 8 else 0
-    upper, letters = len(joined) - len(joined.translate(None, _UPPER)), len(joined) - len(joined.translate(None, _LETTERS))
-    top = int(np.bincount(ids).max())
-    runs = int((ids[1:] == ids[:-1]).sum())
-    long = n >= 20
-    return n, chars, symbols, dup, repeated, symbols / chars, repeated / n, dup / len(lines), upper / letters if letters >= 20 else 0.0, top / n if long else 0.0, runs / n if long else 0.0
+    without = lambda some: len(joined) - len(joined.translate(None, some))
+    marks, upper, letters = without(_MARKS), without(_UPPER), without(_LETTERS)
+    top, changes = int(np.bincount(ids).max()), 1 + int((ids[1:] != ids[:-1]).sum())
+    ratios = marks / chars, upper / max(1, letters), top / n, changes / n, chars / n
+    return n, chars, symbols, dup, repeated, *ratios, *map(float, (marks, upper, top, changes, n))
 
 
 def measured(documents: DataFrame, texts: bool = False) -> DataFrame:
@@ -76,10 +86,10 @@ def measured(documents: DataFrame, texts: bool = False) -> DataFrame:
 
     def of(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = [statistics(t) for t in batch.column(at).to_pylist()]
-        cols = list(zip(*rows, strict=True)) if rows else [[]] * (len(_STATS) + len(RULES))
+        cols = list(zip(*rows, strict=True)) if rows else [[]] * (len(_STATS) + len(_RATIOS))
         made = [pa.array(c, pa.int64() if i < len(_STATS) else pa.float64()) for i, c in enumerate(cols)]
         kept = [batch.column(i) for i, c in enumerate(columns) if c in names]
-        return pa.RecordBatch.from_arrays([*kept, *made], names=[*names, *("__q_" + c for c in [*_STATS, *RULES])])
+        return pa.RecordBatch.from_arrays([*kept, *made], names=[*names, *("__q_" + c for c in [*_STATS, *_RATIOS])])
 
     kinds = dict(docs.dtypes)
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in names) + ", " + ", ".join(f"__q_{x}" for x in _KINDS.split(", "))
@@ -91,46 +101,64 @@ def base_failed() -> Column:
 
 
 def sketches(stats: DataFrame) -> DataFrame:
-    """level (0 source, 1 language, 2 all), lang, source, rule, bin, n: mergeable by adding n. Rows that fail the base
-    rules don't count, so that junk does not move the fences."""
+    """lang, source, rule, bin, n: mergeable by adding n. Rows that fail the base rules don't count, so that junk does not
+    move the fences; bin 0 has what is FLOOR or less."""
     good = stats.where(~base_failed())
-    bins = [F.struct(F.lit(c).alias("rule"), F.when(F.col(f"__q_{c}") <= FLOOR, 0).otherwise(F.ceil(F.log(F.col(f"__q_{c}") / FLOOR) / np.log(GAMMA))).cast("int").alias("bin")) for c in RULES]
+    bin_of = lambda c: F.when(F.col(c) <= FLOOR, 0).otherwise(F.ceil(F.log(F.col(c) / FLOOR) / np.log(GAMMA))).cast("int")
+    bins = [F.struct(F.lit(c).alias("rule"), bin_of(f"__q_{c}").alias("bin")) for c in RULES]
     each = good.select("lang", "source", F.explode(F.array(*bins)).alias("b"))
-    leaf = each.groupBy("lang", "source", F.col("b.rule").alias("rule"), F.col("b.bin").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-    return leaf
+    return each.groupBy("lang", "source", F.col("b.rule").alias("rule"), F.col("b.bin").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def _quantiles(sketch: DataFrame, *group: str) -> DataFrame:
+    """group, rule, weight (documents; 0 where the median is in bin 0, which has no scale), mid and spread (logarithms)."""
+    bins = sketch.groupBy(*group, "rule", "bin").agg(F.sum("n").alias("n"))
+    w = Window.partitionBy(*group, "rule")
+    ranked = bins.withColumn("upto", F.sum("n").over(w.orderBy("bin"))).withColumn("all", F.sum("n").over(w))
+    at = lambda tenths: F.min(F.when(10 * F.col("upto") >= tenths * F.col("all"), F.col("bin")))
+    q = ranked.groupBy(*group, "rule").agg(F.max("all").alias("all"), at(1).alias("low"), at(5).alias("mid"), at(9).alias("high"))
+    step = float(np.log(GAMMA))
+    spread = F.greatest(F.least(F.col("mid") - F.col("low"), F.col("high") - F.col("mid")), F.lit(1)) * step
+    return q.select(*group, "rule", F.when(F.col("mid") > 0, F.col("all")).otherwise(0).cast("double").alias("weight"), (F.col("mid") * step + float(np.log(FLOOR))).alias("mid"), spread.alias("spread"))
+
+
+def _leaning(own: str, on: str) -> Column:
+    """The average of a quantile of a group and of the group above it; the own one alone if that has no scale."""
+    both = (F.col("weight") * F.col(own) + PRIOR * F.col(on)) / (F.col("weight") + PRIOR)
+    return F.when(F.col(on).isNotNull(), both).when(F.col("weight") > 0, F.col(own))
 
 
 def thresholds(stats: DataFrame) -> DataFrame:
-    """lang, source and a fence __t_<rule> for each rule: a row for each language and source of stats, nulls included."""
+    """lang, source and a fence __t_<rule>_<side> for each rule and side: a row for each language and source of stats that
+    has a document which passes the base rules, nulls included. A fence is null where not even all documents have a scale."""
     leaf = saved(sketches(stats), "sketch")
-    nothing = F.lit(None).cast("string")
-    levels = leaf.select(F.lit(0).alias("level"), "lang", "source", "rule", "bin", "n")
-    levels = levels.unionByName(leaf.groupBy("lang", "rule", "bin").agg(F.sum("n").alias("n")).select(F.lit(1).alias("level"), "lang", nothing.alias("source"), "rule", "bin", "n"))
-    levels = levels.unionByName(leaf.groupBy("rule", "bin").agg(F.sum("n").alias("n")).select(F.lit(2).alias("level"), nothing.alias("lang"), nothing.alias("source"), "rule", "bin", "n"))
-    group = Window.partitionBy("level", "lang", "source", "rule")
-    ranked = levels.withColumn("upto", F.sum("n").over(group.orderBy("bin"))).withColumn("all", F.sum("n").over(group))
-    value = F.when(F.col("bin") == 0, F.lit(0.0)).otherwise(FLOOR * F.pow(F.lit(GAMMA), F.col("bin")))
-    quantile = ranked.groupBy("level", "lang", "source", "rule").agg(F.max("all").alias("all"), F.min(F.when(2 * F.col("upto") >= F.col("all"), value)).alias("q2"), F.min(F.when(10 * F.col("upto") >= F.col("all"), value)).alias("low"))
-    resolution = F.create_map(*[F.lit(x) for pair in RULES.items() for x in pair])[F.col("rule")]
-    least = F.when(F.col("low") > 0, resolution / 2).otherwise(resolution)
-    fence = F.col("q2") + F.greatest(SPREAD * (F.col("q2") - F.col("low")), least)
-    fences = quantile.groupBy("level", "lang", "source").agg(F.max("all").alias("all"), *[F.max(F.when(F.col("rule") == c, fence)).alias(f"__t_{c}") for c in RULES])
-    own = fences.where("level = 0").alias("a")
-    by_lang = fences.where(f"level = 1 and all >= {LEAST_DOCUMENTS}").alias("b")
-    over_all = fences.where("level = 2").first()  # a single row
-    last = {c: F.lit(over_all[f"__t_{c}"] if over_all else None).cast("double") for c in RULES}
-    near = own.join(by_lang, F.col("a.lang").eqNullSafe(F.col("b.lang")), "left")
-    return saved(near.select(F.col("a.lang").alias("lang"), F.col("a.source").alias("source"), *[F.when(F.col("a.all") >= LEAST_DOCUMENTS, F.col(f"a.__t_{c}")).otherwise(F.coalesce(F.col(f"b.__t_{c}"), last[c])).alias(f"__t_{c}") for c in RULES]), "fences")
+    top = {r["rule"]: r for r in _quantiles(leaf).where("weight > 0").collect()}  # a row for each rule
+    over_all = lambda column: F.create_map(*[x for c in RULES for x in (F.lit(c), F.lit(top[c][column] if c in top else None).cast("double"))])[F.col("rule")]
+    by_lang = _quantiles(leaf, "lang").withColumn("all_mid", over_all("mid")).withColumn("all_spread", over_all("spread"))
+    by_lang = saved(by_lang.select(F.col("lang").alias("__lang"), F.col("rule").alias("__rule"), _leaning("mid", "all_mid").alias("lang_mid"), _leaning("spread", "all_spread").alias("lang_spread")), "languages")
+    own = _quantiles(leaf, "lang", "source").join(sized(by_lang), F.col("lang").eqNullSafe(F.col("__lang")) & (F.col("rule") == F.col("__rule")), "left")
+    own = own.select("lang", "source", "rule", _leaning("mid", "lang_mid").alias("mid"), F.greatest(_leaning("spread", "lang_spread"), "lang_spread").alias("spread"))
+    fence = lambda side: F.exp(F.col("mid") + (REACH if side == "high" else -REACH) * F.col("spread"))
+    made = [F.max(F.when(F.col("rule") == c, fence(side))).alias(f"__t_{c}_{side}") for c, sides in RULES.items() for side in sides.split()]
+    return saved(own.groupBy("lang", "source").agg(*made), "fences")
+
+
+def beyond(rule: str, side: str) -> Column:
+    """Whether a row with its fences is beyond one by more than the margin of its own count. Rows without words have no ratio."""
+    margin = 1 + MARGIN / F.sqrt(F.greatest(F.col(f"__q_n_{rule}"), F.lit(1.0)))
+    ratio, fence = F.col(f"__q_{rule}"), F.col(f"__t_{rule}_{side}")
+    return F.coalesce(ratio / margin > fence if side == "high" else ratio * margin < fence, F.lit(False))
 
 
 def judged(stats: DataFrame, fences: DataFrame) -> DataFrame:
     """stats with base_failed and kept. Groups without a fence (all of whose rows fail the base rules) need none."""
-    side = sized(fences.select(F.col("lang").alias("__lang"), F.col("source").alias("__source"), *[f"__t_{c}" for c in RULES]))
+    side = sized(fences.withColumnRenamed("lang", "__lang").withColumnRenamed("source", "__source"))
     joined = stats.join(side, F.col("lang").eqNullSafe(F.col("__lang")) & F.col("source").eqNullSafe(F.col("__source")), "left")
-    over = F.lit(False)
-    for c in RULES:
-        over = over | (F.col(f"__q_{c}") > F.coalesce(F.col(f"__t_{c}"), F.lit(float("inf"))))
-    return joined.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & ~over)
+    out = F.lit(False)
+    for c, sides in RULES.items():
+        for s in sides.split():
+            out = out | beyond(c, s)
+    return joined.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & ~out)
 
 
 def rules(documents: DataFrame) -> DataFrame:
@@ -150,4 +178,5 @@ def filtered(documents: DataFrame) -> DataFrame:
 
 
 def op9_quality_rules(spark, sf_dir: str) -> DataFrame:
+    """rules() over all documents: nulls, empty and long texts, repeated rows and empty tables as there."""
     return rules(spark.read.parquet(f"{sf_dir}/documents.parquet"))

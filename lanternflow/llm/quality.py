@@ -25,8 +25,11 @@ FEATURES = 17
 
 
 def features(text: str | None) -> list[float]:
-    n, chars, _, _, _, symbols, repeat, dup, _, top, runs = statistics(text)
+    n, chars, n_symbols, n_dup, n_repeat, _, _, top_word, change, *_ = statistics(text)
     raw = (text or "").encode("utf-8", "surrogatepass")
+    symbols, repeat = n_symbols / max(1, chars), n_repeat / max(1, n)
+    dup = n_dup / max(1, sum(1 for x in raw.split(b"\n") if x.strip(b" \t\v\f\r")))
+    top, runs = (top_word, 1 - change) if n >= 20 else (0.0, 0.0)
     size = max(1, len(raw))
     upper = sum(map(raw.count, (bytes([c]) for c in range(65, 91)))) / size
     stops, marks = sum(map(raw.count, (b".", b",", b";"))) / size, sum(map(raw.count, (b"!", b"?"))) / size

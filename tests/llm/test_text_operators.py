@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import random
 import re
 from zlib import crc32
@@ -100,23 +101,77 @@ def test_quality_rules(spark, texts):
     assert clean_lost <= 2 and junk_kept <= 2
 
 
-@pytest.mark.parametrize("share", [0.3, 0.4])
+def prose(rng: random.Random, n: int = 80, marked: int = 10) -> list[str]:
+    """Words with a capital and a full stop around every run of about marked words."""
+    out = [rng.choice("bcdfglmnprst") + rng.choice("aeiou") + rng.choice("bcdfglmnprst") * rng.randrange(3) + rng.choice("aeiou") for _ in range(n)]
+    for i in range(0, n, marked + rng.randrange(3)):
+        out[i], out[i - 1] = out[i].capitalize(), out[i - 1] + "."
+    return out
+
+
+RULED = "doc_id long, text string, lang string, source string"
+
+
+@pytest.mark.parametrize("share", [0.3, 0.45])
 def test_quality_rules_with_much_junk_in_a_source(spark, share):
     rng = random.Random(7)
-    made = lambda: [rng.choice("bcdfglmnprst") + rng.choice("aeiou") + str(rng.randrange(1000)) for _ in range(80)]
     n, junk = 400, int(400 * share)
-    rows = [(i, " ".join(w + "#$%&"[: 1 + i % 4] if i < junk else w for w in made()), "en", "s") for i in range(n)]
-    kept = {r.doc_id for r in qrules.rules(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).where("kept").collect()}
+    rows = [(i, " ".join(w + "#$%&"[: 1 + i % 4] if i < junk else w for w in prose(rng)), "en", "s") for i in range(n)]
+    kept = {r.doc_id for r in qrules.rules(spark.createDataFrame(rows, RULED)).where("kept").collect()}
     assert kept == set(range(junk, n))
 
 
-def test_fences_tighten_and_loosen(spark):
-    """Texts of a most frequent word: half of the resolution where all have nearly the same share, far more where it spreads."""
-    text = lambda i, top: " ".join(x for k in range(200) for x in ([f"t{k}"] * (k == 0) + ["the"] * (k < top) + [f"w{i}x{k}"]))
-    rows = [(i, text(i, 10 + i % 3), "en", "narrow") for i in range(300)] + [(1000 + i, text(i, 2 + i % 60), "en", "broad") for i in range(300)]
-    f = {r.source: r["__t_top_word_ratio"] for r in qrules.thresholds(qrules.measured(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"))).collect()}
-    full = qrules.RULES["top_word_ratio"]
-    assert f["narrow"] < 11 / 212 + 0.75 * full and f["broad"] > 0.13 + 2 * full
+def test_fences_follow_the_data(spark):
+    """Languages of few and of many marks get different fences, and the same text passes in one and fails in the other;
+    a source that is like its language but has few documents leans on it; other data move the fences."""
+    rng = random.Random(3)
+    rows = [(i, " ".join(prose(rng, 200, 16)), "en", "many") for i in range(400)] + [(1000 + i, " ".join(prose(rng, 200, 3)), "de", "many") for i in range(400)]
+    rows += [(2000 + i, " ".join(prose(rng, 200, 3)), "en", "few") for i in range(5)]
+    probe = " ".join(prose(rng, 200, 2))
+    rows += [(5000, probe, "en", "many"), (5001, probe, "de", "many")]
+    docs = spark.createDataFrame(rows, RULED)
+    f = {(r.lang, r.source): r["__t_mark_ratio_high"] for r in qrules.thresholds(qrules.measured(docs)).collect()}
+    assert f["en", "many"] < f["de", "many"] / 1.5 and f["en", "many"] < f["en", "few"] < f["de", "many"]
+    kept = {r.doc_id: r.kept for r in qrules.rules(docs).collect()}
+    assert not kept[5000] and kept[5001] and all(kept[i] for i in range(400)) and all(kept[1000 + i] for i in range(400))
+    assert {r.doc_id for r in qrules.filtered(docs).collect()} == {i for i, k in kept.items() if k}
+
+
+def bin_of(x: float) -> int:
+    return 0 if x <= qrules.FLOOR else math.ceil(math.log(x / qrules.FLOOR) / math.log(qrules.GAMMA))
+
+
+def test_kept_against_brute_force(spark):
+    """Fences and verdicts again, from sorted lists of bins in plain Python."""
+    stats = {r.doc_id: (r, d) for r, d in zip(*(sorted(x.collect(), key=lambda r: r.doc_id) for x in (qrules.op9_quality_rules(spark, LARGER), spark.read.parquet(f"{LARGER}/documents.parquet"))), strict=True)}
+    counts = {i: dict(zip(qrules.RULES, qrules.statistics(d.text)[-len(qrules.RULES) :], strict=True)) for i, (_, d) in stats.items()}
+    step = math.log(qrules.GAMMA)
+
+    def quantiles(found: list[int]) -> tuple[float, float, float]:
+        found = sorted(found)
+        low, mid, high = (found[-(-len(found) * t // 10) - 1] for t in (1, 5, 9))
+        return (len(found) if mid else 0.0, mid * step + math.log(qrules.FLOOR), max(min(mid - low, high - mid), 1) * step)
+
+    groups = collections.defaultdict(list)
+    for r, d in stats.values():
+        if not r.base_failed:
+            for c in qrules.RULES:
+                for g in ((), (d.lang,), (d.lang, d.source)):
+                    groups[g, c].append(bin_of(r[c]))
+    q = {k: quantiles(v) for k, v in groups.items()}
+    lean = lambda own, on: [(own[0] * own[k] + qrules.PRIOR * on[k - 1]) / (own[0] + qrules.PRIOR) for k in (1, 2)]
+    rejected = 0
+    for i, (r, d) in stats.items():
+        out = False
+        for c, sides in qrules.RULES.items():
+            if not r.base_failed:
+                by_lang = lean(q[(d.lang,), c], q[(), c][1:])
+                mid, spread = lean(q[(d.lang, d.source), c], by_lang)
+                reach, margin = qrules.REACH * max(spread, by_lang[1]), 1 + qrules.MARGIN / max(counts[i][c], 1.0) ** 0.5
+                out |= ("high" in sides and r[c] / margin > math.exp(mid + reach)) or ("low" in sides and r[c] * margin < math.exp(mid - reach))
+        assert r.kept == (not r.base_failed and not out)
+        rejected += out
+    assert rejected > 10
 
 
 @pytest.mark.parametrize(("name", "operator", "label", "cut", "least"), [("quality", quality.op3_quality, "quality", 0.5, 0.97), ("toxicity", toxicity.op10_toxicity, "toxic", 0.7, 0.93)])
