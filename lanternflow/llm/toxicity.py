@@ -1,9 +1,10 @@
 """Toxicity by weak supervision.
 
-Voters are lexicons (a fixed one, and words and word beginnings mined from labelled documents, dealt to several voters)
-and patterns. A generative label model estimates each voter's accuracy; voters whose votes go together beyond what the
-label explains are merged into one joint voter, so that correlated votes don't count twice. A linear classifier is then
-trained on the model's posterior labels.
+Voters with different views give their opinion on a text or abstain: lexicons by kind, words and word beginnings mined from
+labelled documents, patterns of address, threat, disguised spelling and shouting, density, and quiet prose. A generative
+label model estimates each voter's accuracy from how the voters agree; voters whose votes go together beyond what the
+label explains are merged into one joint voter, so that correlated votes don't count twice. A linear classifier on hashed
+words and letter n-grams is then trained on the model's posterior labels, so that it also knows words that no voter has; how many words a text has of each lexicon are features too.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from functools import cache
 from zlib import crc32
 
 import numpy as np
@@ -18,63 +20,91 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mapped, remainder, word_bytes
+from .common import mapped, remainder, saved, word_bytes
 from .labelled import training_rows
 
-#: At most about this many labelled documents are learned from, and this many terms make up the mined lexicons.
-TRAIN_ROWS = 12_000
-TERMS = 2_000
+#: At most about this many labelled documents are learned from.
+TRAIN_ROWS = 8_000
 #: A mined term stands in so many toxic documents at least, has such a log-likelihood ratio and such a share of toxic ones.
 LEAST_TOXIC = 4
 LEAST_RATIO = 24.0
 LEAST_SHARE = 0.3
-DEALT = 3
 STEMS = range(4, 11)
 ROUNDS = 60
-# Insults that are toxic in any document.
-INSULTS = "clown disgusting dumb fool garbage idiot imbecile jerk loser moron pathetic pig scum stupid trash ugly vermin worthless".split()
-_ADDRESS = re.compile(rb"\b(?:you|your|he|she|they|these|those|all)(?: \w+){0,2} (?:" + b"|".join(w.encode() for w in INSULTS) + rb")s?\b")
-_FIXED = frozenset(INSULTS)
+#: Hashed features: words, and letter 4-grams of words with their edges marked.
+DIMENSIONS = 1 << 18
+GRAM = 4
+RIDGE = 0.3
+STEPS = 60
+#: Scale of the features that count lexicon words: as much ridge on them as on so many n-grams less.
+COUNTED = 2.0
+#: Words whose features a Python worker remembers.
+REMEMBERED = 100_000
+#: Ordinary features of texts of more distinct words than this weigh less, so that a long text is not judged by its length.
+DISTINCT = 50
+#: Three fixed lexicons, mined words, mined beginnings, and how many words at most one of both sources has.
+LEXICON_FEATURES = 6
+# Lexicons by kind.
+STUPIDITY = "clown dumb dumbass dunce fool idiot idiotic idiots imbecile moron moronic morons stupid".split()
+CONTEMPT = "disgusting filth garbage jerk loser losers pathetic pig scum scumbag trash ugly vermin worthless".split()
+PROFANITY = "asshole bastard bitch bullshit crap damn fuck fucking motherfucker shit".split()
+LEXICONS = (frozenset(STUPIDITY), frozenset(CONTEMPT), frozenset(PROFANITY))
+INSULTS = frozenset().union(*LEXICONS)
+# Patterns over lower-cased words, and what digits and marks stand for in disguised spellings.
+ADDRESS = re.compile(r"\b(?:you|your|he|she|they|these|those|all)(?: \w+){0,3} (?:" + "|".join(sorted(INSULTS)) + r")s?\b")
+THREAT = re.compile(r"\b(?:(?:i|we) (?:will|ll|am going to|are going to|gonna) (?:kill|hurt|destroy|beat|find) you|kill your ?self|(?:go|hope you|should just) die)\b")
+DISGUISE = str.maketrans("0134578@$!*", "oieastbasi*")
+_DISGUISED = re.compile(r"(?<![A-Za-z0-9@$!*])(?=[A-Za-z0-9@$!*]*[A-Za-z])(?=[A-Za-z]*[0-9@$!*][A-Za-z0-9@$!*]*[A-Za-z])[A-Za-z0-9@$!*]{3,20}")
+_SHOUTED = re.compile(r"(?:\b[A-Z]{2,}\b[^A-Za-z\n]{1,4}){2,}[A-Z]{2,}\b")
+VOTERS = ("stupidity", "contempt", "profanity", "mined words", "mined beginnings", "addressed", "threat", "disguised", "shouted", "dense", "quiet")
 
 
 def terms(text: str | None) -> set[str]:
     """The distinct words of a text, and their beginnings, marked by a star."""
-    words = {w.decode("utf-8", "surrogatepass") for w in word_bytes(text)}
+    words = {w.decode("utf-8", "replace") for w in word_bytes(text)}
     return words | {w[:k] + "*" for w in words for k in STEMS if len(w) > k}
 
 
-def _counted(texts: DataFrame, among: frozenset[str] | None) -> DataFrame:
-    """term, n: in how many of the texts a term stands; among: only these terms."""
+def without_copies(train: DataFrame) -> DataFrame:
+    """Of training texts with the same least hash of four words, which near copies share, the one with the smallest id: terms
+    of one much copied text would else look like terms of many. Ties by a hash of the text."""
 
     def of(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found: Counter = Counter()
-        for text in batch.column(0).to_pylist():
-            found.update(terms(text) if among is None else terms(text) & among)
-        return pa.RecordBatch.from_arrays([pa.array([x.encode("utf-8", "replace").decode() for x in found], pa.string()), pa.array(list(found.values()), pa.int64())], names=["term", "n"])
+        keys = []
+        for text in batch.column(2).to_pylist():
+            w = word_bytes(text)
+            keys.append(min((crc32(b" ".join(w[i : i + 4])) for i in range(max(1, len(w) - 3))), default=0))
+        return pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(keys, pa.int64())], names=["doc_id", "y", "text", "key"])
 
-    return mapped(texts.select("text"), of, "term string, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
+    rows = train.select(F.col("doc_id").cast("string").alias("doc_id"), "y", "text")
+    keyed = mapped(rows, of, "doc_id string, y int, text string, key bigint")
+    least = keyed.groupBy("key").agg(F.min_by(F.struct("doc_id", "y", "text"), F.struct("doc_id", F.xxhash64("text"))).alias("r"))
+    return saved(least.select("r.*"), "distinct")
 
 
 def mined(train: DataFrame) -> list[str]:
-    """Terms that stand in far more toxic documents than chance has it, strongest first; TERMS at most.
-
-    Of terms that are beginnings of each other only the strongest stays. All counts are bounded by the sample's size."""
+    """Terms that stand in far more toxic documents than chance has it, strongest first. Counts and limits are made in the
+    engine; only the terms that pass come to the driver. Of terms that are beginnings of each other the strongest stays."""
     sizes = {r["y"]: r["n"] for r in train.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not sizes.get(1) or not sizes.get(0):
         return []
     rate = sizes[1] / (sizes[0] + sizes[1])
-    toxic = {r["term"]: r["n"] for r in _counted(train.where("y = 1"), None).where(F.col("n") >= LEAST_TOXIC).collect()}
-    clean = {r["term"]: r["n"] for r in _counted(train.where("y = 0"), frozenset(toxic)).collect()}
-    ranked = []
-    for term, t in toxic.items():
-        c = clean.get(term, 0)
-        ratio = 2 * (t * math.log(t / (t + c) / rate) + (c * math.log(c / (t + c) / (1 - rate)) if c else 0.0))
-        if t >= LEAST_SHARE * (t + c) and t > rate * (t + c) and ratio >= LEAST_RATIO:
-            ranked.append((-ratio, -len(term.rstrip("*")), term))
+
+    def of(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found: tuple[Counter, Counter] = (Counter(), Counter())
+        for y, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            found[y].update(terms(text))
+        rows = [(x, n, i) for i in (0, 1) for x, n in found[i].items()]
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] * (1 - r[2]) for r in rows], pa.int64()), pa.array([r[1] * r[2] for r in rows], pa.int64())], names=["term", "c", "t"])
+
+    counted = mapped(train.select("y", "text"), of, "term string, c bigint, t bigint").groupBy("term").agg(F.sum("c").alias("c"), F.sum("t").alias("t"))
+    t, c, both = F.col("t"), F.col("c"), F.col("t") + F.col("c")
+    ratio = 2 * (t * F.log(t / both / rate) + F.when(c > 0, c * F.log(c / both / (1 - rate))).otherwise(0.0))
+    strong = counted.where((t >= LEAST_TOXIC) & (t >= LEAST_SHARE * both) & (t > rate * both)).select("term", ratio.alias("ratio")).where(F.col("ratio") >= LEAST_RATIO)
     stems: set[str] = set()  # of accepted terms
     heads: set[str] = set()  # all beginnings of accepted terms
     accepted: list[str] = []
-    for _, _, term in sorted(ranked):
+    for _, _, term in sorted((-r["ratio"], -len(r["term"].rstrip("*")), r["term"]) for r in strong.collect()):
         bare = term.rstrip("*")
         if any(bare[:k] in stems for k in range(1, len(bare) + 1)) or (term[-1] == "*" and bare in heads):
             continue
@@ -82,61 +112,61 @@ def mined(train: DataFrame) -> list[str]:
         heads.update(bare[:k] for k in range(1, len(bare) + 1))
         if term[-1] == "*":
             stems.add(bare)
-    return accepted[:TERMS]
+    return accepted
 
 
 class Voters:
-    """Votes on a text: 1 toxic, 0 not toxic, -1 no opinion."""
+    """Votes on a text in the order of VOTERS: 1 toxic, 0 not toxic, -1 no opinion."""
 
-    def __init__(self, found: list[str]):
-        self.words = {x: crc32(x.encode()) % DEALT for x in found if x[-1] != "*"}
-        self.stems = {x[:-1]: DEALT + crc32(x.encode()) % DEALT for x in found if x[-1] == "*"}
+    def __init__(self, found: list[str] = ()):
+        self.words = frozenset(x for x in found if x[-1] != "*")
+        self.stems = frozenset(x[:-1] for x in found if x[-1] == "*")
         self.lengths = sorted({len(x) for x in self.stems})
-        self.starts = {x[: self.lengths[0]] for x in self.stems} if self.stems else set()
-        self.filled = {*self.words.values(), *self.stems.values()}
-        self.size = 2 * DEALT + 4
-
-    def hits(self, counts: Counter) -> list[int]:
-        """For each mined lexicon how many words of the text it has."""
-        found = [0] * (2 * DEALT)
-        first = self.lengths[0] if self.lengths else 0
-        for word, n in counts.items():
-            if (of := self.words.get(word)) is not None:
-                found[of] += n
-            elif first and word[:first] in self.starts:
-                for k in self.lengths:
-                    if len(word) >= k and (of := self.stems.get(word[:k])) is not None:
-                        found[of] += n
-                        break
-        return found
-
-    def __call__(self, text: str | None) -> tuple[list[int], list[float]]:
-        """The votes, and the features of the linear classifier."""
-        words = word_bytes(text)
-        counts = Counter(b" ".join(words).decode("utf-8", "surrogatepass").split(" ")) if words else Counter()
-        fixed = sum(counts[w] for w in _FIXED)
-        hits = self.hits(counts)
-        total, n = max(fixed, sum(hits)), max(1, len(words))
-        vote = lambda h: 1 if h >= 2 else (0 if not h else -1)
-        votes = [vote(h) if i in self.filled else -1 for i, h in enumerate(hits)]
-        addressed = bool(fixed) and bool(_ADDRESS.search(b" ".join(words)))
-        votes += [vote(fixed), 1 if addressed else -1, 1 if total >= 3 else (0 if total <= 1 else -1), 1 if total >= 2 and total / n > 0.002 else (0 if n >= 50 and total / n < 0.001 else -1)]
-        return votes, [1.0, float(total >= 1), float(total >= 2), float(total >= 3), math.log1p(total), math.log1p(1000 * total / n), math.log1p(fixed), float(fixed >= 2), *(float(h >= 2) for h in hits)]
-
-
-def label_model(votes: np.ndarray, prior: float, anchor: np.ndarray) -> np.ndarray:
-    """Posterior of toxic for each row of votes (-1, 0, 1), by expectation maximisation.
-
-    Begins from anchor (a first guess for each row). After some rounds voters whose votes correlate, given the label, by
-    more than 0.3 are joined: a joint voter's vote is the whole combination, with a probability of its own per class."""
+
+    def kinds(self, word: str) -> list[int]:
+        """The lexicons that have the word: fixed ones, mined words, mined beginnings."""
+        found = [i for i, lexicon in enumerate((*LEXICONS, self.words)) if word in lexicon]
+        return [*found, len(LEXICONS) + 1] if any(word[:k] in self.stems for k in self.lengths) else found
+
+    def __call__(self, text: str | None) -> list[int]:
+        raw = text or ""
+        words = [w.decode("utf-8", "replace") for w in word_bytes(raw)]
+        hits = np.zeros(len(LEXICONS) + 2, int)
+        for w, n in Counter(words).items():
+            hits[self.kinds(w)] += n
+        total, joined = total_of(hits), " ".join(words)
+        disguised = any(m[0].lower().translate(DISGUISE) in INSULTS for m in _DISGUISED.finditer(raw))
+        shouted = any({"you", "your", *INSULTS} & set(re.findall("[a-z]+", m[0].lower())) for m in _SHOUTED.finditer(raw))
+        patterns = [bool(ADDRESS.search(joined)), bool(THREAT.search(joined)), disguised, shouted]
+        dense = 1 if total >= 2 and total > 0.002 * len(words) else 0 if total and total < 0.001 * len(words) else -1
+        quiet = 0 if total <= 1 and not any(patterns) else -1
+        return [*(1 if k >= 2 else -1 for k in hits), *(1 if p else -1 for p in patterns), dense, quiet]
+
+
+def total_of(hits: np.ndarray) -> int:
+    """Words of the fixed lexicons, or of the mined ones if these are more: what both have counts once."""
+    return int(max(hits[: len(LEXICONS)].sum(), hits[len(LEXICONS) :].sum()))
+
+
+def label_model(votes: np.ndarray) -> np.ndarray:
+    """Posterior of toxic for each row of votes (-1 no opinion, 0, 1), by expectation maximisation, without any label.
+
+    Begins from the majority of the votes given (a text with none is taken as not toxic), where voters that nearly always say
+    the same have one vote together. After some rounds voters whose votes correlate, given the posterior, by more than 0.3
+    are joined: a joint voter's vote is the whole combination, with a probability of its own per class. A voter that goes
+    against the others gets a low accuracy and hardly counts."""
     n, k = votes.shape
     if not n:
         return np.zeros(0)
-    groups = [[j] for j in range(k)]
-    post = np.clip(anchor, 0.02, 0.98)
+    groups = _correlated(votes, np.ones(n), 0.9)
+    share = np.zeros(k)
+    for g in groups:
+        share[g] = 1 / len(g)
+    post = np.clip((votes == 1) @ share / np.maximum((votes >= 0) @ share, 1e-9), 0.02, 0.98)
     for turn in range(ROUNDS):
         if turn == ROUNDS // 3:
             groups = _correlated(votes, post)
+        prior = float(np.clip(post.mean(), 0.005, 0.5))
         odds = np.full(n, math.log(prior / (1 - prior)))
         for g in groups:
             code = np.zeros(n, np.int64)
@@ -153,7 +183,8 @@ def label_model(votes: np.ndarray, prior: float, anchor: np.ndarray) -> np.ndarr
     return post
 
 
-def _correlated(votes: np.ndarray, post: np.ndarray) -> list[list[int]]:
+def _correlated(votes: np.ndarray, post: np.ndarray, least: float = 0.3) -> list[list[int]]:
+    """Groups of voters that go together within the classes by more than least."""
     k = votes.shape[1]
     v = votes.astype(float)
     inside = np.zeros((k, k))
@@ -162,7 +193,7 @@ def _correlated(votes: np.ndarray, post: np.ndarray) -> list[list[int]]:
             centred = v - (weight @ v) / weight.sum()
             inside += (centred * weight[:, None]).T @ centred
     spread = np.sqrt(np.maximum(np.diag(inside), 1e-9))
-    together = np.abs(inside / spread[:, None] / spread[None, :]) > 0.3
+    together = np.abs(inside / spread[:, None] / spread[None, :]) > least
     groups: list[list[int]] = []
     for j in range(k):
         mine = [g for g in groups if any(together[j, i] for i in g)]
@@ -170,49 +201,147 @@ def _correlated(votes: np.ndarray, post: np.ndarray) -> list[list[int]]:
     return groups
 
 
-def linear(x: np.ndarray, p: np.ndarray) -> np.ndarray:
-    """Logistic regression on probabilities as labels, by Newton steps; the first feature is the constant."""
-    w = np.zeros(x.shape[1])
-    ridge = np.full(x.shape[1], 1e-2)
-    ridge[0] = 1e-4
-    for _ in range(50):
-        q = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (q * (1 - q))[:, None]).T @ x + np.diag(ridge), x.T @ (p - q) - ridge * w)
-        w += step * min(1.0, 5.0 / max(1e-12, float(np.linalg.norm(step))))
-        if np.abs(step).max() < 1e-7:
+@cache
+def _remembered() -> dict[bytes, np.ndarray]:
+    return {}
+
+
+def parts(word: bytes) -> np.ndarray:
+    """The hashed features of a word: itself, and its letter n-grams between edge marks."""
+    known = _remembered()
+    if (found := known.get(word)) is None:
+        edged = b"<" + word[:64] + b">"
+        grams = {edged[i : i + GRAM] for i in range(max(1, len(edged) - GRAM + 1))}
+        found = np.array(sorted({crc32(word, 1) % DIMENSIONS, *(crc32(g, 2) % DIMENSIONS for g in grams)}), np.int64)
+        if len(known) >= REMEMBERED:
+            known.clear()
+        known[word] = found
+    return found
+
+
+def counted(hits: np.ndarray) -> np.ndarray:
+    """Features of the lexicons: the logarithms of their hits, and the total up to three."""
+    return COUNTED * np.array([*np.log1p(hits), min(3, total_of(hits))])
+
+
+def features(text: str | None, voters: Voters) -> tuple[np.ndarray, np.ndarray]:
+    """Positions and values of the hashed features of a text, and after them those of the lexicons."""
+    counts = Counter(word_bytes(text))
+    hits = np.zeros(len(LEXICONS) + 2, int)
+    for w, n in counts.items():
+        hits[voters.kinds(w.decode("utf-8", "replace"))] += n
+    at, x = np.zeros(0, np.int64), np.zeros(0)
+    if counts:
+        found = [parts(w) for w in counts]
+        weight = weight_of(counts) * (1 + np.log2(np.fromiter(counts.values(), float)))
+        at, inverse = np.unique(np.concatenate(found), return_inverse=True)
+        x = np.bincount(inverse, np.repeat(weight, [len(p) for p in found]))
+    extra = counted(hits)
+    return np.append(at, DIMENSIONS + np.arange(len(extra))), np.append(x, extra)
+
+
+def weight_of(counts: Counter) -> float:
+    return min(1.0, math.sqrt(DISTINCT / max(1, len(counts))))
+
+
+def linear(rows: list[tuple[np.ndarray, np.ndarray]], p: np.ndarray) -> tuple[np.ndarray, float]:
+    """Weights and constant of a logistic regression on probabilities as labels, by L-BFGS. Features of a single row are left out."""
+    at, x = np.concatenate([r[0] for r in rows]), np.concatenate([r[1] for r in rows])
+    row = np.repeat(np.arange(len(rows)), [len(r[0]) for r in rows])
+    kept, at = np.unique(at, return_inverse=True)
+    often = np.bincount(at) >= 2
+    number = np.cumsum(often) - 1
+    use = often[at]
+    at, x, row, kept = number[at[use]], x[use], row[use], kept[often]
+
+    def loss(w: np.ndarray) -> tuple[float, np.ndarray]:
+        z = np.bincount(row, x * w[at], len(rows)) + w[-1]
+        q = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+        value = float(np.logaddexp(0, z).sum() - p @ z + RIDGE / 2 * (w[:-1] @ w[:-1]))
+        return value, np.append(np.bincount(at, x * (q - p)[row], len(kept)) + RIDGE * w[:-1], (q - p).sum())
+
+    w = np.zeros(len(kept) + 1)
+    rate = float(np.clip(p.mean(), 1e-3, 1 - 1e-3))
+    w[-1] = math.log(rate / (1 - rate))
+    value, gradient = loss(w)
+    past: list[tuple[np.ndarray, np.ndarray]] = []
+    for _ in range(STEPS):
+        d, alphas = -gradient, []
+        for s, y in reversed(past):
+            alphas.append(a := (s @ d) / (s @ y))
+            d = d - a * y
+        if past:
+            s, y = past[-1]
+            d = d * ((s @ y) / (y @ y))
+        else:
+            d = d / max(1.0, float(np.linalg.norm(d)))
+        for (s, y), a in zip(past, reversed(alphas), strict=True):
+            d = d + s * (a - (y @ d) / (s @ y))
+        slope, step = float(gradient @ d), 1.0
+        new, at_new = loss(w + d)
+        while new > value + 1e-4 * step * slope and step > 1e-6:
+            step /= 2
+            new, at_new = loss(w + step * d)
+        if value - new <= 1e-7 * max(1.0, abs(value)):
             break
-    return w
+        if (step * d) @ (at_new - gradient) > 1e-12:
+            past = [*past[-7:], (step * d, at_new - gradient)]
+        w, value, gradient = w + step * d, new, at_new
+    weights = np.zeros(DIMENSIONS + LEXICON_FEATURES, np.float32)
+    weights[kept] = w[:-1]
+    return weights, float(w[-1])
 
 
-def scores(documents: DataFrame, train: DataFrame) -> DataFrame:
-    """A row for each row of documents: doc_id, score. Null and empty texts have no votes for toxic and a low score. With
-    no labelled document of one of the classes the fixed lexicon and the patterns vote alone."""
+def fit(train: DataFrame) -> tuple[np.ndarray, float, Voters] | None:
+    """Weights and constant of the classifier, and its voters, or None if no training text is toxic by the label model."""
+    train = without_copies(train)
     voters = Voters(mined(train))
 
-    def of_training(batch: pa.RecordBatch) -> pa.RecordBatch:
-        made = [voters(t) for t in batch.column(1).to_pylist()]
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([m[0] for m in made], pa.list_(pa.int8())), pa.array([m[1] for m in made], pa.list_(pa.float64()))], names=["y", "votes", "x"])
-
-    found = sorted((r["x"], r["votes"], r["y"]) for r in mapped(train.select("y", "text"), of_training, "y int, votes array<tinyint>, x array<double>").collect())  # bounded by TRAIN_ROWS
-    votes = np.array([r[1] for r in found], np.int64).reshape(-1, voters.size)
-    x = np.array([r[0] for r in found], float).reshape(len(found), -1) if found else np.zeros((0, 8 + 2 * DEALT))
-    y = np.array([r[2] for r in found], float)
-    prior = float(np.clip(y.mean() if len(y) else 0.1, 0.01, 0.5))
-    post = label_model(votes, prior, 0.5 * (votes == 1).any(1) + 0.5 * y)
-    w = linear(x, post)
-    if not len(x) or post.max() < 0.5:  # nothing toxic to learn from: a text is toxic from two words of the fixed lexicon on
-        w = np.zeros(x.shape[1])
-        w[[0, 2, 3]] = -3.0, 5.0, 1.0
+    def of(batch: pa.RecordBatch) -> pa.RecordBatch:
+        texts = batch.column(1).to_pylist()
+        made = [features(t, voters) for t in texts]
+        columns = [pa.array([voters(t) for t in texts], pa.list_(pa.int8())), pa.array([m[0].astype("<i4").tobytes() for m in made], pa.binary()), pa.array([m[1].astype("<f4").tobytes() for m in made], pa.binary())]
+        return pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", "votes", "at", "x"])
+
+    found = sorted(mapped(train.select("doc_id", "text"), of, "doc_id string, votes array<tinyint>, at binary, x binary").collect())  # bounded by TRAIN_ROWS and DIMENSIONS
+    if not found:
+        return None
+    post = label_model(np.array([r["votes"] for r in found], np.int64))
+    if post.max() < 0.5:
+        return None
+    return *linear([(np.frombuffer(r["at"], "<i4").astype(np.int64), np.frombuffer(r["x"], "<f4").astype(float)) for r in found], post), voters
+
+
+def scores(documents: DataFrame, train: DataFrame) -> DataFrame:
+    """A row for each row of documents: doc_id, score. Null and empty texts have no words and the score of the constant. With
+    nothing toxic to learn from, the lexicons alone decide: a text is toxic from two of their words on."""
+    model = fit(train)
 
     def of(batch: pa.RecordBatch) -> pa.RecordBatch:
-        x = np.array([voters(t)[1] for t in batch.column(1).to_pylist()], float).reshape(-1, len(w))
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(1 / (1 + np.exp(-np.clip(x @ w, -30, 30))))], names=["doc_id", "score"])
+        known: dict[bytes, tuple[float, list[int]]] = {}
+        total = []
+        for text in batch.column(1).to_pylist():
+            counts = Counter(word_bytes(text))
+            if model is None:
+                total.append(-3.0 + 2.5 * min(3, sum(counts[w.encode()] for w in INSULTS)))
+                continue
+            weights, constant, voters = model
+            z, hits = 0.0, np.zeros(len(LEXICONS) + 2, int)
+            for w, n in counts.items():
+                if (c := known.get(w)) is None:
+                    c = known[w] = float(weights[parts(w)].sum()), voters.kinds(w.decode("utf-8", "replace"))
+                z += c[0] * (1 + math.log2(n))
+                if c[1]:
+                    hits[c[1]] += n
+            total.append(constant + weight_of(counts) * z + float(counted(hits) @ weights[DIMENSIONS:]))
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(1 / (1 + np.exp(-np.clip(np.array(total, float), -30, 30))), pa.float64())], names=["doc_id", "score"])
 
     docs = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return mapped(docs, of, "doc_id bigint, score double")
 
 
 def op10_toxicity(spark, sf_dir: str) -> DataFrame:
+    """scores() of all documents, learned from labels.toxic: nulls, empty and long texts, repeated rows as there."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     d = scores(docs, training_rows(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), "toxic", TRAIN_ROWS))
     return d.select("doc_id", F.coalesce(remainder("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))

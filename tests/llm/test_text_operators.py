@@ -7,6 +7,7 @@ import random
 import re
 from zlib import crc32
 
+import numpy as np
 import pytest
 
 from lanternflow.llm import langid, license, qrules, quality, secrets, toxicity
@@ -203,12 +204,42 @@ def test_odd_rows(spark, odd):
 
 
 def test_label_model_joins_correlated_voters():
-    import numpy as np
-
     rng = np.random.default_rng(1)
     y = rng.random(2000) < 0.3
-    good = [np.where(rng.random(2000) < 0.9, y, ~y) for _ in range(3)]
+    good = [np.where(rng.random(2000) < 0.9, y, ~y) for _ in range(5)]
     noise = rng.random(2000) < 0.5
     votes = np.array([*good, noise, noise, noise, noise], int).T  # four voters that say the same, and know nothing
-    post = toxicity.label_model(votes, 0.3, votes[:, :3].mean(1))
-    assert ((post > 0.5) == y).mean() > 0.95
+    assert ((toxicity.label_model(votes) > 0.5) == y).mean() > 0.95
+
+
+def test_voters_have_their_own_views():
+    votes = lambda t, found=(): {n for n, v in zip(toxicity.VOTERS, toxicity.Voters(list(found))(t), strict=True) if v == 1}
+    assert votes("a calm text of some words") == set() and toxicity.Voters()("a calm text")[-1] == 0
+    assert votes("You are such an idiot") == {"addressed"} and votes("what an 1d10t he is") == {"disguised"}
+    assert votes("I will hurt you tomorrow") == {"threat"} and votes("HEY YOU FOOL, NOW") == {"shouted", "addressed"}
+    assert votes("damn this crap") == {"profanity", "dense"} and votes("blarg and blarg", ["blarg"]) == {"mined words", "dense"}
+    assert votes("blarging and blarged", ["blarg*"]) == {"mined beginnings", "dense"} and votes(None) == set()
+
+
+def test_toxic_words_that_no_voter_knows(spark):
+    """Without a useful label, and though no lexicon has the word, the classifier learns it from the company that it keeps."""
+    rng = random.Random(2)
+    rows = []
+    for i in range(600):
+        w = prose(rng, 60)
+        if i < 120:
+            for x in (*rng.sample(sorted(toxicity.INSULTS), 2), *["grubskull"] * (i % 5 > 0)):
+                w.insert(rng.randrange(len(w)), x)
+        rows.append((i, " ".join(w), 0))
+    train = spark.createDataFrame(rows, "doc_id long, text string, y int")
+    probes = [(1, " ".join([*prose(rng, 40), "grubskull", *prose(rng, 9), "grubskulls", "grubskull"])), (2, " ".join(prose(rng, 60))), (3, "you stupid idiot"), (4, None), (5, "")]
+    s = {r.doc_id: r.score for r in toxicity.scores(spark.createDataFrame(probes, "doc_id long, text string"), train).collect()}
+    assert s[1] >= 0.5 > 10 * s[2] and s[3] >= 0.7 and s[4] == s[5] < 0.1
+
+
+def test_near_copies_teach_once(spark):
+    rng = random.Random(4)
+    base = prose(rng, 200)
+    rows = [(i, " ".join([*base[:150], f"x{i}", *base[150:]]), 1) for i in range(40)] + [(100 + i, " ".join(prose(rng, 50)), 0) for i in range(100)]
+    kept = toxicity.without_copies(spark.createDataFrame(rows, "doc_id long, text string, y int")).collect()
+    assert sum(r.y for r in kept) <= 3 and sum(1 - r.y for r in kept) == 100
