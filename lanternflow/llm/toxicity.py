@@ -4,7 +4,8 @@ Voters with different views give their opinion on a text or abstain: lexicons by
 labelled documents, patterns of address, threat, disguised spelling and shouting, density, and quiet prose. A generative
 label model estimates each voter's accuracy from how the voters agree; voters whose votes go together beyond what the
 label explains are merged into one joint voter, so that correlated votes don't count twice. A linear classifier on hashed
-words and letter n-grams is then trained on the model's posterior labels, so that it also knows words that no voter has; how many words a text has of each lexicon are features too.
+words and letter n-grams is then trained on the model's posterior labels, so that it also knows words that no voter has; a second part of it has the counts of lexicon words as
+features, and the higher of both decides.
 """
 
 from __future__ import annotations
@@ -247,6 +248,8 @@ def weight_of(counts: Counter) -> float:
 def linear(rows: list[tuple[np.ndarray, np.ndarray]], p: np.ndarray) -> tuple[np.ndarray, float]:
     """Weights and constant of a logistic regression on probabilities as labels, by L-BFGS. Features of a single row are left out."""
     at, x = np.concatenate([r[0] for r in rows]), np.concatenate([r[1] for r in rows])
+    if not len(at):
+        return np.zeros(DIMENSIONS + LEXICON_FEATURES, np.float32), -3.0
     row = np.repeat(np.arange(len(rows)), [len(r[0]) for r in rows])
     kept, at = np.unique(at, return_inverse=True)
     often = np.bincount(at) >= 2
@@ -292,8 +295,9 @@ def linear(rows: list[tuple[np.ndarray, np.ndarray]], p: np.ndarray) -> tuple[np
     return weights, float(w[-1])
 
 
-def fit(train: DataFrame) -> tuple[np.ndarray, float, Voters] | None:
-    """Weights and constant of the classifier, and its voters, or None if no training text is toxic by the label model."""
+def fit(train: DataFrame) -> tuple[np.ndarray, tuple[float, float], Voters] | None:
+    """Weights of the classifier, the constants of its parts by words and by lexicon hits, and its voters; or None if no
+    training text is toxic by the label model."""
     train = without_copies(train)
     voters = Voters(mined(train))
 
@@ -309,7 +313,11 @@ def fit(train: DataFrame) -> tuple[np.ndarray, float, Voters] | None:
     post = label_model(np.array([r["votes"] for r in found], np.int64))
     if post.max() < 0.5:
         return None
-    return *linear([(np.frombuffer(r["at"], "<i4").astype(np.int64), np.frombuffer(r["x"], "<f4").astype(float)) for r in found], post), voters
+    rows = [(np.frombuffer(r["at"], "<i4").astype(np.int64), np.frombuffer(r["x"], "<f4").astype(float)) for r in found]
+    # two parts, as features of the lexicons in one would explain away what other words tell
+    by_words = linear([(at[:-LEXICON_FEATURES], x[:-LEXICON_FEATURES]) for at, x in rows], post)
+    by_hits = linear([(at[-LEXICON_FEATURES:], x[-LEXICON_FEATURES:]) for at, x in rows], post)
+    return by_words[0] + by_hits[0], (by_words[1], by_hits[1]), voters
 
 
 def scores(documents: DataFrame, train: DataFrame) -> DataFrame:
@@ -325,7 +333,7 @@ def scores(documents: DataFrame, train: DataFrame) -> DataFrame:
             if model is None:
                 total.append(-3.0 + 2.5 * min(3, sum(counts[w.encode()] for w in INSULTS)))
                 continue
-            weights, constant, voters = model
+            weights, (of_words, of_hits), voters = model
             z, hits = 0.0, np.zeros(len(LEXICONS) + 2, int)
             for w, n in counts.items():
                 if (c := known.get(w)) is None:
@@ -333,7 +341,7 @@ def scores(documents: DataFrame, train: DataFrame) -> DataFrame:
                 z += c[0] * (1 + math.log2(n))
                 if c[1]:
                     hits[c[1]] += n
-            total.append(constant + weight_of(counts) * z + float(counted(hits) @ weights[DIMENSIONS:]))
+            total.append(max(of_words + weight_of(counts) * z, of_hits + float(counted(hits) @ weights[DIMENSIONS:])))
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(1 / (1 + np.exp(-np.clip(np.array(total, float), -30, 30))), pa.float64())], names=["doc_id", "score"])
 
     docs = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
