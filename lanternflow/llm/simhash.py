@@ -1,15 +1,16 @@
 """SimHash near-duplicates by pivot distance tables.
 
-Each fingerprint has a table row of Hamming distances to reference fingerprints (pivots). By the triangle inequality two
-fingerprints within the threshold differ by no more than it in every coordinate, so a pair with a larger coordinate
-difference is discarded and the survivors are verified. A pivot table alone would still meet all pairs; so that work
-does not grow with the square of the corpus, rows first meet under block keys: of BLOCKS bit blocks, at most threshold
-differ, so at least KEEP whole blocks agree, and each choice of KEEP blocks is a key. No pair is lost by that.
+Each distinct fingerprint has a table row of Hamming distances to reference fingerprints (pivots), made once and stored with
+it. By the triangle inequality two fingerprints within the threshold differ by no more than it in every coordinate, so a pair
+with a larger coordinate difference is discarded and the survivors are verified. A pivot table alone would still meet all
+pairs; so that work does not grow with the square of the corpus, the table is partitioned by block keys: of BLOCKS bit
+blocks, at most threshold differ, so at least KEEP whole blocks agree, and each choice of KEEP blocks is a key. No pair is
+lost by that.
 
 Groups under one key are never paired out in full. In a first, linear pass over rows sorted by key, each row is held
 against the rows just before it and forests of links come out. Components of those links then decide what is left: in a
 key whose members already are in one component nothing is left to find; elsewhere only members outside the key's largest
-component meet the others. That second pass is exact, the first only saves work.
+component meet the others. That second pass is exact, the first only saves work. Both prune by the stored coordinates.
 """
 
 from __future__ import annotations
@@ -20,10 +21,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import mapped, put_back, saved, set_aside
+from .common import at_label, mapped, put_back, saved, set_aside
 
 SHINGLE = 4
 MAX_DISTANCE = 4
@@ -89,11 +90,33 @@ def pivot_table(fps: np.ndarray) -> np.ndarray:
     return np.bitwise_count(fps[:, None] ^ np.array(PIVOTS, np.uint64)[None, :])
 
 
+def with_pivots(nodes: DataFrame) -> DataFrame:
+    """nodes (a row for each fingerprint fp) with its row of the pivot table, eight distances of a byte each in near and far."""
+    names = nodes.columns
+
+    def of(batch: pa.RecordBatch) -> pa.RecordBatch:
+        fps = np.ascontiguousarray(batch.column(names.index("fp")).to_numpy(zero_copy_only=False).astype(np.int64)).view(np.uint64)
+        packed = np.ascontiguousarray(pivot_table(fps).astype(np.uint8)).view("<i8").reshape(-1, 2)
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(packed[:, 0], pa.int64()), pa.array(packed[:, 1], pa.int64())], names=[*names, "near", "far"])
+
+    return mapped(nodes, of, ", ".join(f"`{c}` {t}" for c, t in nodes.dtypes) + ", near bigint, far bigint")
+
+
+def within_pivots(a: str, b: str) -> Column:
+    """Whether no coordinate of the stored rows a.near, a.far and b.near, b.far differs by more than the threshold."""
+    ok = F.lit(True)
+    for part in ("near", "far"):
+        for i in range(8):
+            at = lambda side: F.shiftrightunsigned(F.col(f"{side}_{part}"), 8 * i).bitwiseAND(F.lit(255))  # noqa: B023, E731
+            ok = ok & (F.abs(at(a) - at(b)) <= MAX_DISTANCE)
+    return ok
+
+
 def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
     """The batches' integer columns as arrays of at least AT_ONCE rows, but for the last."""
     held: list[np.ndarray] = []
     for batch in batches:
-        held.append(np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3)], 1))
+        held.append(np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(5)], 1))
         if sum(map(len, held)) >= AT_ONCE:
             yield np.concatenate(held)
             held = []
@@ -101,10 +124,12 @@ def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
         yield np.concatenate(held)
 
 
-def _links_of(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of rows sorted by key: whether a row has a neighbour of its key, and the first row that it is linked to (or itself)."""
-    n = len(rows)
+def _links_of(rows: np.ndarray, new: int = 0) -> tuple[np.ndarray, np.ndarray, int, int]:
+    """Of rows sorted by key: whether a row has a neighbour of its key, the first row that it is linked to (or itself), and
+    how many pairs with a row from new on were met under a key and how many of them the pivot table discarded."""
+    n, met, discarded = len(rows), 0, 0
     fp = np.ascontiguousarray(rows[:, 2]).view(np.uint64)
+    table = np.ascontiguousarray(rows[:, 3:5]).view(np.uint8).astype(np.int16)
     near, parent = np.zeros(n, bool), list(range(n))
 
     def root(x: int) -> int:
@@ -117,7 +142,10 @@ def _links_of(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         pair = np.flatnonzero((rows[back:, :2] == rows[:-back, :2]).all(1))
         if back == 1:
             near[pair] = near[pair + 1] = True
-        pair = pair[(np.abs(pivot_table(fp[pair + back]).astype(np.int16) - pivot_table(fp[pair])) <= MAX_DISTANCE).all(1)]  # the pivots discard the rest
+        fresh = pair + back >= new
+        kept = (np.abs(table[pair + back] - table[pair]) <= MAX_DISTANCE).all(1)
+        met, discarded = met + int(fresh.sum()), discarded + int((fresh & ~kept).sum())
+        pair = pair[kept]
         pair = pair[np.bitwise_count(fp[pair + back] ^ fp[pair]) <= MAX_DISTANCE]
         for a in pair.tolist():
             x, y = root(a), root(a + back)
@@ -125,28 +153,34 @@ def _links_of(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     links = np.arange(n)
     for i in np.flatnonzero(near).tolist():
         links[i] = root(i)
-    return near, links
+    return near, links, met, discarded
+
+
+_FOUND = "choice int, bits bigint, fp bigint, other bigint, met bigint, discarded bigint"
 
 
 def _first_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by choice, bits, fp -> rows of keys that have several rows, each with a linked row before it or null.
 
     Keeps BACK rows from one array to the next, the last of them not yet decided on. The first and the last row of a
-    partition come out in any case, as their key may go on in another one."""
-    kept = np.zeros((0, 3), np.int64)
+    partition come out in any case, as their key may go on in another one. The first row that comes out of each array also
+    has the counts of pairs met and discarded."""
+    kept = np.zeros((0, 5), np.int64)
 
-    def out(rows: np.ndarray, links: np.ndarray, where: np.ndarray) -> pa.RecordBatch:
+    def out(rows: np.ndarray, links: np.ndarray, where: np.ndarray, met: int = 0, discarded: int = 0) -> pa.RecordBatch:
         other = pa.array(rows[links[where], 2], pa.int64(), mask=links[where] == where)
-        return pa.RecordBatch.from_arrays([pa.array(rows[where, 0].astype(np.int32)), pa.array(rows[where, 1]), pa.array(rows[where, 2]), other], names=["choice", "bits", "fp", "other"])
+        first = (np.arange(len(where)) == 0).astype(np.int64)
+        columns = [rows[where, 0].astype(np.int32), rows[where, 1], rows[where, 2], other, first * met, first * discarded]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["choice", "bits", "fp", "other", "met", "discarded"])
 
     for new in _gathered(batches):
         rows, k = np.concatenate([kept, new]), len(kept)
-        near, links = _links_of(rows)
+        near, links, met, discarded = _links_of(rows, k)
         if not k:
             near[0] = True
         near[: max(k - 1, 0)] = False  # these came out before
         near[-1] = False  # decided with what follows
-        yield out(rows, links, np.flatnonzero(near))
+        yield out(rows, links, np.flatnonzero(near), met, discarded)
         kept = rows[-BACK:]
     if len(kept):
         yield out(kept, _links_of(kept)[1], np.array([len(kept) - 1]))
@@ -164,8 +198,9 @@ def components(links: DataFrame, left: str, right: str) -> DataFrame:
         over = edges.join(labels.withColumnRenamed("node", "b"), "b").select(F.col("a").alias("node"), "label")
         least = over.unionByName(labels).groupBy("node").agg(F.min("label").alias("low"))
         least = saved(least, "least")
-        jump = least.select(F.col("node").alias("low"), F.col("low").alias("lower"))
-        new = least.join(jump, "low", "left").select("node", F.coalesce("lower", "low").alias("label"))
+        # a label's own label, for those that have a smaller one: looked up once for each, however many nodes have it
+        jump = least.select("low").distinct().join(least.select(F.col("node").alias("low"), F.col("low").alias("lower")), "low").where("lower < low")
+        new = at_label(least, saved(jump, "jump"), "low", "node").select("node", F.coalesce("lower", "low").alias("label"))
         new = saved(new, "labels")
         changed = new.join(labels.withColumnRenamed("label", "old"), "node").where("label <> old").limit(1).count()
         labels = new
@@ -173,38 +208,64 @@ def components(links: DataFrame, left: str, right: str) -> DataFrame:
             return labels
 
 
+def _first_pass(nodes: DataFrame) -> DataFrame:
+    """The saved rows of _first_links() for nodes: fp, near, far."""
+    sort = ["choice", "bits", "fp"]
+    keyed = _keyed(nodes.select("fp", "near", "far")).select("choice", "bits", "fp", "near", "far")
+    return saved(keyed.repartitionByRange(*sort).sortWithinPartitions(*sort).mapInArrow(_first_links, _FOUND), "pairs")
+
+
+def _second_pass(nodes: DataFrame, rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """Pairs (a, b, a_label, b_label and the pivot rows of both) that the first pass left open: in keys of several
+    components, members outside the largest one against the members of other components."""
+    members = rows.select("choice", "bits", "fp").distinct().join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
+    members = saved(members, "members")
+    sizes = members.groupBy("choice", "bits", "label").agg(F.count(F.lit(1)).alias("n"))
+    several = sizes.groupBy("choice", "bits").agg(F.count(F.lit(1)).alias("labels"), F.max(F.struct("n", "label")).alias("top")).where("labels > 1").select("choice", "bits", F.col("top.label").alias("top"))
+    open_keys = saved(members.join(several, ["choice", "bits"]).join(nodes.select("fp", "near", "far"), "fp"), "open")
+    side = lambda s: [F.col(c).alias(f"{s}_{c}") for c in ("label", "near", "far")]
+    left = open_keys.where("label <> top").select("choice", "bits", F.col("fp").alias("a"), *side("a"))
+    right = open_keys.select("choice", "bits", F.col("fp").alias("b"), *side("b"))
+    return left.join(right, ["choice", "bits"]).where("a_label <> b_label")
+
+
+def pivot_counts(documents: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """One row: pass (1), met (pairs under a key that the linear pass held against each other), discarded (by the pivot table
+    alone); and one for pass 2. What is not discarded is verified bit by bit. Of no pairs both are 0."""
+    nodes = saved(with_pivots(fingerprints(documents, shingle).select("fp").distinct()), "nodes")
+    rows = _first_pass(nodes)
+    labels = components(rows.where("other is not null").select("fp", "other").distinct(), "fp", "other")
+    pairs = _second_pass(nodes, rows, labels)
+    count = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("bigint")
+    first = rows.agg(F.lit(1).alias("pass"), count(F.col("met")).alias("met"), count(F.col("discarded")).alias("discarded"))
+    return first.unionByName(pairs.agg(F.lit(2).alias("pass"), F.count(F.lit(1)).alias("met"), count((~within_pivots("a", "b")).cast("int")).alias("discarded")))
+
+
 def near_duplicates(documents: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """A row for each row of documents: doc_id, text_hash, fp, component_id (the smallest doc_id reachable over links of
     at most MAX_DISTANCE bits; null if no document of the component has an id) and keep_hash (the smallest text_hash
     among rows with that id).
 
-    Null and empty texts have fingerprint 0 and link like others. Repeated rows each have a result row."""
+    Null and empty texts have fingerprint 0 and link like others. Repeated rows each have a result row. Tied texts of one
+    id and hash are the same row for this purpose. A very long text is one task's work, once."""
     docs = saved(fingerprints(documents, shingle), "fingerprints")
-    nodes = saved(docs.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "text_hash")).alias("best")), "nodes")
-    sort = ["choice", "bits", "fp"]
-    keyed = _keyed(nodes.select("fp")).select("choice", "bits", "fp")
-    rows = keyed.repartitionByRange(*sort).sortWithinPartitions(*sort)
-    rows = saved(rows.mapInArrow(_first_links, "choice int, bits bigint, fp bigint, other bigint"), "pairs")
-    first = rows.where("other is not null").select("fp", "other").distinct()
-    labels = components(first, "fp", "other")
-    # what is left: in keys of several components, members outside the largest against all others
-    members = rows.select("choice", "bits", "fp").distinct().join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
-    members = saved(members, "members")
-    sizes = members.groupBy("choice", "bits", "label").agg(F.count(F.lit(1)).alias("n"))
-    mixed = sizes.groupBy("choice", "bits").agg(F.count(F.lit(1)).alias("labels"), F.max(F.struct("n", "label")).alias("top")).where("labels > 1").select("choice", "bits", F.col("top.label").alias("top"))
-    left = members.join(mixed, ["choice", "bits"]).where("label <> top").select("choice", "bits", F.col("fp").alias("a"), F.col("label").alias("a_label"))
-    right = members.select("choice", "bits", F.col("fp").alias("b"), F.col("label").alias("b_label"))
-    close = F.col("a_label") != F.col("b_label")
-    for p in PIVOTS[:4]:
-        close = close & (F.abs(F.bit_count(F.col("a").bitwiseXOR(F.lit(_signed(p)))) - F.bit_count(F.col("b").bitwiseXOR(F.lit(_signed(p))))) <= MAX_DISTANCE)
-    close = close & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= MAX_DISTANCE)
-    rest = left.join(right, ["choice", "bits"]).where(close).select("a_label", "b_label").distinct()
+    grouped = docs.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "text_hash")).alias("best"))
+    nodes = grouped.select("fp", "least", F.col("best.n").alias("no_id"), F.col("best.doc_id").alias("best_id"), F.col("best.text_hash").alias("best_hash"))
+    nodes = saved(with_pivots(nodes), "nodes")
+    rows = _first_pass(nodes)
+    labels = components(rows.where("other is not null").select("fp", "other").distinct(), "fp", "other")
+    near = within_pivots("a", "b") & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= MAX_DISTANCE)
+    rest = _second_pass(nodes, rows, labels).where(near).select("a_label", "b_label").distinct()
     merged = components(rest, "a_label", "b_label")
-    final = labels.join(merged.select(F.col("node").alias("label"), F.col("label").alias("top")), "label", "full").select(F.coalesce("node", "label").alias("fp"), F.coalesce("top", "label").alias("label"))
-    full = nodes.join(final, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
-    least = full.groupBy("label").agg(F.min("least").alias("component_id"), F.min("best").alias("best"))
-    named = saved(full.select("fp", "label").join(least, "label").select("fp", "component_id", F.col("best.text_hash").alias("keep_hash")), "components")
-    return docs.join(named, "fp").select("doc_id", "text_hash", "fp", "component_id", "keep_hash")
+    # rows of one label may be a third of all: its final label and its least id come from small tables of one row a label
+    linked = nodes.select("fp", "least", "no_id", "best_id", "best_hash").join(labels.withColumnRenamed("node", "fp"), "fp", "left")
+    linked = linked.withColumn("label", F.coalesce("label", "fp"))
+    linked = at_label(linked, merged.select(F.col("node").alias("label"), F.col("label").alias("top")), "label", "fp")
+    linked = saved(linked.withColumn("label", F.coalesce("top", "label")).drop("top"), "linked")
+    least = linked.groupBy("label").agg(F.min("least").alias("component_id"), F.min(F.struct("no_id", "best_id", "best_hash")).alias("best"), F.count(F.lit(1)).alias("n"))
+    several = saved(least.where("n > 1").select("label", "component_id", F.col("best.best_hash").alias("keep_hash")), "several")
+    named = at_label(linked, several, "label", "fp").select("fp", F.coalesce("component_id", "least").alias("component_id"), F.coalesce("keep_hash", "best_hash").alias("keep_hash"))
+    return docs.join(saved(named, "components"), "fp").select("doc_id", "text_hash", "fp", "component_id", "keep_hash")
 
 
 def one_of_each(documents: DataFrame, shingle: int = SHINGLE) -> DataFrame:
@@ -222,5 +283,6 @@ def one_of_each(documents: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
 
 def op2_near_duplicates(spark, sf_dir: str) -> DataFrame:
+    """near_duplicates() of all documents: nulls, empty and long texts, ties, repeated rows and empty tables as there."""
     d = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return d.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
