@@ -2,8 +2,10 @@
 
 Among all document rates in [0, MOST] whose words add up to each source's target, the one with the least relative entropy
 to the documents as they are is rate = min(MOST, exp(dual * size / mean size of the source)). The duals solve a convex
-problem, by Newton iterations guarded by a bracket; each iteration is a distributed aggregation over a histogram of
-(source, size), to which the documents are reduced once. Rates become whole copies: sizes are taken from large to small,
+problem, by Newton iterations on the logarithm of the words, guarded by a bracket that encloses the root whatever the sizes:
+a source's words are at most its size times exp(dual * least size / mean), and all rates are at their most from dual =
+log(MOST) * mean / least size on. Each iteration is a distributed aggregation over a histogram of (source, size), to which
+the documents are reduced once. A source that does not converge is an error. Rates become whole copies: sizes are taken from large to small,
 and each size's copies make up for what the larger ones have left, so that the words taken end next to the target.
 """
 
@@ -22,8 +24,7 @@ from .common import blank_split, fits_broadcast, mapped, saved
 MOST = 2
 SHARE = 1.5
 WEIGHTS = (3, 1, 2)
-ROUNDS = 40
-LARGE = 700.0
+ROUNDS = 200
 #: Tasks that write the table of duals, which has a row for each source.
 STATE_PARTS = 4
 #: Rows of one source and size are ranked in parts of about this many rows, so that no task gets a large group.
@@ -42,21 +43,35 @@ def sizes(documents: DataFrame) -> DataFrame:
     return mapped(docs, of, "doc_id bigint, source string, size bigint")
 
 
+def ranked(sources: DataFrame) -> DataFrame:
+    """sources (source, source_size) with rank, from 0 by code point, null last: sorted in range partitions, each of which
+    begins after all rows of those before it, so that no task gets all sources."""
+    order = F.col("source").asc_nulls_last()
+    parts = saved(sources.repartitionByRange(order).withColumn("part", F.spark_partition_id()), "sources")
+    sums = parts.groupBy("part").agg(F.count(F.lit(1)).alias("n"))  # a row for each partition
+    before = sums.select(F.col("part").alias("__part"), (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
+    here = F.row_number().over(Window.partitionBy("part").orderBy(order)) - 1
+    joined = parts.withColumn("here", here).join(before, F.col("part") == F.col("__part"))
+    return joined.select("source", "source_size", (F.col("here") + F.col("before")).alias("rank"))
+
+
 def targets(histogram: DataFrame, share: float = SHARE, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
     """source, source_size, target: shares by weight in the order of the sources' code points, null last, none above most
-    times its size. What is above is shared again until none is: that is the level at which sum(min(cap, level * weight))
-    is the total, found from the order in which the sources reach their caps. One row per source moves."""
+    times its size. What is above is shared again until none is: target = min(most * size, level * weight), and each round
+    sets the level from what the sources below their most have left and their weights, as one aggregation."""
     total = histogram.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).cast("bigint").alias("source_size"))
-    rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
-    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (rank % len(weights) + 1).cast("int"))
-    t = total.withColumn("weight", weight).withColumn("cap", most * F.col("source_size").cast("double"))
-    full = Window.orderBy(F.col("cap") / F.col("weight"), F.col("source").asc_nulls_last())
-    all_rows = Window.partitionBy()
-    t = t.withColumn("__before", F.sum("cap").over(full) - F.col("cap")).withColumn("__rest", F.sum("weight").over(all_rows) - F.sum("weight").over(full) + F.col("weight"))
-    t = t.withColumn("__all", F.lit(share) * F.sum("source_size").over(all_rows)).withColumn("__level", (F.col("__all") - F.col("__before")) / F.col("__rest"))
-    # the level is that of the first source which does not reach its cap
-    t = t.withColumn("__level", F.min(F.when(F.col("__level") * F.col("weight") < F.col("cap"), F.struct(F.col("cap") / F.col("weight"), F.col("__level").alias("l")))).over(all_rows)["l"])
-    return t.select("source", "source_size", F.when(F.col("__level").isNull(), F.col("cap")).otherwise(F.least("cap", F.col("__level") * F.col("weight"))).alias("target"))
+    weight = F.element_at(F.array(*[F.lit(w) for w in weights]), (F.col("rank") % len(weights) + 1).cast("int")).cast("bigint")
+    t = saved(ranked(total).select("source", "source_size", weight.alias("weight")), "weights")
+    every = t.agg(F.coalesce(F.sum("source_size"), F.lit(0)).alias("size"), F.sum("weight").alias("weight")).first()
+    level = share * every["size"] / max(1, every["weight"] or 1)
+    while True:  # ends: each round but the last takes a source more to its most
+        full = F.col("source_size") * most <= level * F.col("weight")
+        r = t.agg(F.coalesce(F.sum(F.when(full, F.col("source_size"))), F.lit(0)).alias("full"), F.sum(F.when(~full, F.col("weight"))).alias("weight")).first()
+        new = (share * every["size"] - most * r["full"]) / r["weight"] if r["weight"] else math.inf
+        if new <= level * (1 + 1e-15):
+            break
+        level = new
+    return t.select("source", "source_size", F.least((F.col("source_size") * most).cast("double"), level * F.col("weight")).alias("target"))
 
 
 def _rate(size: Column, mean: Column, dual: Column, most: int) -> Column:
@@ -64,33 +79,43 @@ def _rate(size: Column, mean: Column, dual: Column, most: int) -> Column:
 
 
 def duals(histogram: DataFrame, goal: DataFrame, most: int = MOST) -> DataFrame:
-    """goal with mean and dual for each source: Newton on the dual, all sources at once, each a row of a small table."""
+    """goal with mean and dual for each source: Newton on the dual, all sources at once, each a row of a small table.
+
+    Raises ArithmeticError if a source is not at its target after ROUNDS rounds."""
     h = histogram.where("size > 0")
-    mean = h.groupBy("source").agg((F.sum(F.col("size") * F.col("n")) / F.sum("n")).alias("mean"))
-    g = goal.join(mean, goal["source"].eqNullSafe(mean["source"]), "left").select(goal["source"], "source_size", "target", "mean")
-    # a target at the cap needs every rate at its most, which is the limit of large duals
+    mean = h.groupBy("source").agg((F.sum(F.col("size") * F.col("n")) / F.sum("n")).alias("mean"), F.min("size").alias("least"))
+    g = goal.join(mean, goal["source"].eqNullSafe(mean["source"]), "left").select(goal["source"], "source_size", "target", "mean", "least")
+    # a target at the cap needs every rate at its most
     capped = F.col("target") >= most * F.col("source_size") * (1 - 1e-12)
-    state = g.withColumn("low", F.lit(-LARGE)).withColumn("high", F.lit(LARGE)).withColumn("dual", F.when(capped, LARGE).otherwise(0.0))
-    state = saved(state.withColumn("done", capped).coalesce(STATE_PARTS), "duals")
+    unit = F.col("mean") / F.col("least")
+    low = (F.least(F.log(F.col("target") / F.col("source_size")), F.lit(0.0)) - 1e-6) * unit
+    high = (math.log(most) + 1e-6) * unit
+    state = g.withColumn("low", low).withColumn("high", high).withColumn("dual", F.when(capped, F.col("high")).otherwise(F.lit(0.0)))
+    state = saved(state.withColumn("done", capped | F.col("mean").isNull()).drop("least").coalesce(STATE_PARTS), "duals")
     few = fits_broadcast(state, 100_000)
     for _ in range(ROUNDS):
+        if not state.where("not done").limit(1).count():
+            return state
         s = state.select(F.col("source").alias("__s"), "mean", "dual", "target", "done")
         e = h.join(F.broadcast(s) if few else s, h["source"].eqNullSafe(F.col("__s"))).where("not done")
         rate = _rate(F.col("size"), F.col("mean"), F.col("dual"), most)
-        moved = e.select("source", "mean", (F.col("n") * F.col("size") * rate).alias("words"), F.when(rate < most, F.col("n") * F.col("size") * rate * F.col("size") / F.col("mean")).otherwise(0.0).alias("slope"))
+        words = F.col("n") * F.col("size") * rate
+        moved = e.select("source", "mean", words.alias("words"), F.when(rate < most, words * F.col("size") / F.col("mean")).otherwise(0.0).alias("slope"))
         sums = moved.groupBy("source").agg(F.sum("words").alias("words"), F.sum("slope").alias("slope")).withColumnRenamed("source", "__s")
         j = state.join(sums, state["source"].eqNullSafe(F.col("__s")), "left").drop("__s")
         gap = F.col("words") - F.col("target")
         near = F.abs(gap) <= 1e-9 * F.greatest(F.col("target"), F.lit(1.0))
         j = j.withColumn("low", F.when(gap < 0, F.col("dual")).otherwise(F.col("low"))).withColumn("high", F.when(gap > 0, F.col("dual")).otherwise(F.col("high")))
-        step = F.col("dual") - gap / F.col("slope")
-        inside = (F.col("slope") > 0) & (step > F.col("low")) & (step < F.col("high"))
+        step = F.col("dual") - F.log(F.col("words") / F.col("target")) * F.col("words") / F.col("slope")
+        inside = (F.col("slope") > 0) & (F.col("words") > 0) & (step > F.col("low")) & (step < F.col("high"))
         nxt = F.when(inside, step).otherwise((F.col("low") + F.col("high")) / 2)
-        j = j.withColumn("next", F.when(F.col("done") | near | gap.isNull(), F.col("dual")).otherwise(nxt))
-        j = j.withColumn("done", F.col("done") | F.coalesce(near, F.lit(True)) | (F.abs(F.col("next") - F.col("dual")) <= 1e-12 * (1 + F.abs(F.col("dual")))))
+        j = j.withColumn("next", F.when(F.col("done") | near, F.col("dual")).otherwise(nxt))
+        closed = F.col("high") - F.col("low") <= 1e-14 * (F.abs(F.col("low")) + F.abs(F.col("high")))
+        j = j.withColumn("done", F.col("done") | F.coalesce(near | closed, F.lit(False)))
         state = saved(j.select("source", "source_size", "target", "mean", "low", "high", F.col("next").alias("dual"), "done").coalesce(STATE_PARTS), "duals")
-        if not state.where("not done").limit(1).count():
-            break
+    left = state.where("not done").count()
+    if left:
+        raise ArithmeticError(f"{left} sources are not at their targets after {ROUNDS} rounds")
     return state
 
 
@@ -138,5 +163,6 @@ def mixed(documents: DataFrame, share: float = SHARE, weights: tuple[int, ...] =
 
 
 def op7_mix_sources(spark, sf_dir: str) -> DataFrame:
+    """mixed() of all documents: nulls, empty and long texts, ties, repeated rows and empty tables as there."""
     d = mixed(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return d.select("doc_id", "size", "source_size", "target", "taken", "copies", "rate")
