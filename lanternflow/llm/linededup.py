@@ -10,7 +10,7 @@ import hashlib
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import mapped, saved, set_aside
@@ -34,42 +34,50 @@ def _keys(lines: list[bytes], min_length: int) -> list[bytes | None]:
     return found
 
 
+def _text_hash() -> Column:
+    return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+
+
 def frequent_lines(documents: DataFrame, min_length: int = MIN_LENGTH, min_documents: int = MIN_DOCUMENTS) -> DataFrame:
-    """doc_id, hash: for each frequent key, every document that has it but the one with the largest doc_id.
+    """doc_id, text_hash, hash: for each frequent key, every text that has it but those of the largest doc_id with it.
 
-    A null doc_id is a document of its own, smaller than all others."""
+    A null doc_id is a document of its own, smaller than all others; its texts stay apart by their hash, as a third of all
+    rows may have no id."""
 
     def hashes(batch: pa.RecordBatch) -> pa.RecordBatch:
-        ids, out = [], []
-        for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        ids, texts, out = [], [], []
+        for i, text_hash, text in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
             found = {k for k in _keys(_lines(text), min_length) if k}
             ids.extend([i] * len(found))
+            texts.extend([text_hash] * len(found))
             out.extend(found)
-        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.binary())], names=["doc_id", "hash"])
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts, pa.int64()), pa.array(out, pa.binary())], names=["doc_id", "text_hash", "hash"])
 
-    each = mapped(documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")), hashes, "doc_id bigint, hash binary")
+    docs = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), _text_hash().alias("text_hash"), F.col("text").cast("string").alias("text"))
     # a key that is frequent for sure has many rows; counts come from partial sums, so no task gets a key's rows
-    pairs = saved(each, "lines")
+    pairs = saved(mapped(docs, hashes, "doc_id bigint, text_hash bigint, hash binary"), "lines")
     # the frequent keys are tables of their own: then both sides of a join are plain shuffles, and adaptive execution can
     # split the rows of a hot key, or broadcast the keys if they are few
     counts = saved(pairs.groupBy("hash").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") >= min_documents).select("hash"), "keys")
     some = pairs.join(counts, "hash", "left_semi")
-    some = saved(some.groupBy("hash", "doc_id").agg(F.lit(1).alias("one")), "some")
-    keep = saved(some.groupBy("hash").agg(F.count("one").alias("n"), F.max("doc_id").alias("last")).where(F.col("n") >= min_documents).select("hash", "last"), "keep")
-    return some.join(keep, "hash").where(~F.col("doc_id").eqNullSafe(F.col("last"))).select("doc_id", "hash")
+    some = saved(some.groupBy("hash", "doc_id", "text_hash").agg(F.lit(1).alias("one")), "some")
+    by_document = some.groupBy("hash", "doc_id").agg(F.lit(1).alias("one"))
+    keep = saved(by_document.groupBy("hash").agg(F.count("one").alias("n"), F.max("doc_id").alias("last")).where(F.col("n") >= min_documents).select("hash", "last"), "keep")
+    return some.join(keep, "hash").where(~F.col("doc_id").eqNullSafe(F.col("last"))).select("doc_id", "text_hash", "hash")
 
 
 def deduplicated(documents: DataFrame, min_length: int = MIN_LENGTH, min_documents: int = MIN_DOCUMENTS) -> DataFrame:
     """documents with text cut to its kept lines, plus n_lines and n_dropped (an input column of that name is replaced).
 
     A null or empty text is one empty line, which stays; its text becomes empty. Rows that repeat a doc_id lose the same
-    lines. n_chars, if it is there, follows the text."""
-    drops = frequent_lines(documents, min_length, min_documents).groupBy("doc_id").agg(F.collect_list("hash").alias("__hashes"))
-    drops = saved(drops, "drops").withColumnRenamed("doc_id", "__id")
+    lines. There are no ties: of the documents with a key the largest doc_id keeps it. A very long text is cut by one task. n_chars, if it is there, follows the text."""
+    drops = frequent_lines(documents, min_length, min_documents).groupBy("doc_id", "text_hash").agg(F.collect_list("hash").alias("__hashes"))
+    drops = saved(drops, "drops").withColumnsRenamed({"doc_id": "__id", "text_hash": "__text"})
     whole = documents.drop("n_lines", "n_dropped")
     docs = set_aside(whole, "doc_id", "text", "n_chars")
     columns = docs.columns
-    joined = docs.join(drops.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("__id")), "left").drop("__id")
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (_text_hash() == F.col("__text"))
+    joined = docs.join(drops.hint("shuffle_hash"), same, "left").drop("__id", "__text")
     at, hashes = columns.index("text"), len(columns)
 
     def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -96,6 +104,7 @@ def deduplicated(documents: DataFrame, min_length: int = MIN_LENGTH, min_documen
 
 
 def op4_line_dedup(spark, sf_dir: str) -> DataFrame:
+    """deduplicated() of all documents: nulls, empty and long texts, repeated rows and empty tables as there."""
     d = deduplicated(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     return d.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
