@@ -14,12 +14,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mapped, remainder
+from .common import mapped, remainder, saved, sized
+from .labelled import one_text
 
 DIMENSIONS = 4_096
 CENTROIDS = 3
 #: The centroids are fitted on about this many labelled texts in all, as many of each language, picked by a hash of the id.
 TRAIN_ROWS = 4_000
+#: But about this many of each language, or all that it has, however many languages there are.
+LEAST_ROWS = 50
 REJECT_QUANTILE = 0.005
 UNKNOWN = "und"
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
@@ -60,12 +63,16 @@ def clustered(v: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
 def fit(train: DataFrame, rows: int = TRAIN_ROWS) -> dict | None:
     """idf, centroids (normalised rows), their languages and least cosines; None if train has no text with a letter.
 
-    train: doc_id, text, lang, no nulls. A language may have few rows; it then has as many centroids as rows."""
-    sizes = {r["lang"]: r["n"] for r in train.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each language
-    if not sizes:
+    train: doc_id, text, lang, no nulls. A language may have few rows; it then has as many centroids as rows. Of rows that
+    repeat an id and language one text counts, so the sample is bounded by rows, or LEAST_ROWS for each language."""
+    known = saved(train.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "langs")  # a row for each language
+    n_langs = known.count()
+    if not n_langs:
         return None
-    share = F.create_map(*[x for k, n in sizes.items() for x in (F.lit(k), F.lit(min(1.0, rows / len(sizes) / n)))])
-    some = train.where(F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(1_000_000)) < share[F.col("lang")] * 1_000_000)
+    share = F.least(F.lit(1.0), F.greatest(F.lit(rows / n_langs), F.lit(float(LEAST_ROWS))) / F.col("n"))
+    picked = F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(1_000_000)) < F.col("share") * 1_000_000
+    some = train.join(sized(known).select(F.col("lang"), share.alias("share")), "lang").where(picked)
+    some = saved(one_text(some, "lang", "doc_id"), "languages")
 
     def of(batch: pa.RecordBatch) -> pa.RecordBatch:
         keep = [(lang, counts(t)) for lang, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if has_letter(t)]
@@ -95,7 +102,8 @@ def fit(train: DataFrame, rows: int = TRAIN_ROWS) -> dict | None:
 def languages(documents: DataFrame, train: DataFrame) -> DataFrame:
     """A row for each row of documents: doc_id, lang_pred, score (cosine to the nearest centroid, 0 to 1) and rejected.
 
-    A null text or one without letters is "und" with score 0; so is every text if there is nothing to learn from."""
+    A null text or one without letters is "und" with score 0; so is every text if there is nothing to learn from.
+    Ties between centroids go to the language that is first by name. Repeated rows each get their row."""
     model = fit(train)
 
     def of(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -113,6 +121,7 @@ def languages(documents: DataFrame, train: DataFrame) -> DataFrame:
 
 
 def op6_language_id(spark, sf_dir: str) -> DataFrame:
+    """languages() of all documents: nulls, empty and long texts, ties, repeated rows and empty tables as there."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
     train = docs.where((remainder("doc_id", 4) != 2) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     return languages(docs, train).withColumn("held_out", F.coalesce(remainder("doc_id", 4) == 2, F.lit(False)))

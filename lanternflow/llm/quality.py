@@ -68,14 +68,19 @@ def fit(x: np.ndarray, y: np.ndarray, pairs: int = PAIRS, seed: int = 7) -> dict
     return {"w": w, "mean": mean, "scale": scale, "cut": cut, "steep": 1.0}
 
 
-def scores(documents: DataFrame, train: DataFrame) -> DataFrame:
-    """A row for each row of documents: doc_id, score. Null and empty texts are scored like others, by their features."""
+def learned(train: DataFrame) -> dict:
+    """fit() on the features of the training rows, in an order that does not depend on the run."""
 
-    def of_training(batch: pa.RecordBatch) -> pa.RecordBatch:
+    def of(batch: pa.RecordBatch) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array([features(t) for t in batch.column(1).to_pylist()], pa.list_(pa.float64()))], names=["y", "x"])
 
-    found = sorted((r["y"], r["x"]) for r in mapped(train.select("y", "text"), of_training, "y int, x array<double>").collect())  # bounded by TRAIN_ROWS
-    model = fit(np.array([r[1] for r in found], float).reshape(-1, FEATURES), np.array([r[0] for r in found], int))
+    found = sorted((r["y"], r["x"]) for r in mapped(train.select("y", "text"), of, "y int, x array<double>").collect())  # bounded by TRAIN_ROWS
+    return fit(np.array([r[1] for r in found], float).reshape(-1, FEATURES), np.array([r[0] for r in found], int))
+
+
+def scores(documents: DataFrame, train: DataFrame) -> DataFrame:
+    """A row for each row of documents: doc_id, score. Null and empty texts are scored like others, by their features."""
+    model = learned(train)
 
     def of(batch: pa.RecordBatch) -> pa.RecordBatch:
         x = np.array([features(t) for t in batch.column(1).to_pylist()], float).reshape(-1, FEATURES)
@@ -87,6 +92,8 @@ def scores(documents: DataFrame, train: DataFrame) -> DataFrame:
 
 
 def op3_quality(spark, sf_dir: str) -> DataFrame:
+    """scores() of all documents, learned from labels.quality: nulls, empty and long texts, repeated rows as there. Ties of
+    scores stay ties; a score of just 0.5 is predicted 1."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     d = scores(docs, training_rows(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), "quality", TRAIN_ROWS))
     return d.select("doc_id", F.coalesce(remainder("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
