@@ -41,15 +41,20 @@ def _accents() -> dict[str, str]:
 
 
 def transliterate(text: Column) -> Column:
-    """Cyrillic and Arabic letters romanised (in lower case), accents removed; other letters as they are. Null is empty."""
+    """Cyrillic and Arabic letters romanised (in lower case), accents removed; other letters as they are. Null is empty.
+
+    Text that is all ASCII, and text without letters of several romanised ones, skips what it doesn't need."""
     table = {**CYRILLIC, **{k.upper(): v for k, v in CYRILLIC.items()}, **ARABIC}
     long = {k: v for k, v in table.items() if len(v) > 1}
     short = {**_accents(), **{k: v for k, v in table.items() if len(v) == 1}}
     gone = [k for k, v in table.items() if not v]
-    out = F.coalesce(text, F.lit(""))
+    plain = F.coalesce(text, F.lit(""))
+    spelled = plain
     for k, v in long.items():
-        out = F.replace(out, F.lit(k), F.lit(v))
-    return F.regexp_replace(F.translate(out, "".join([*short, *gone]), "".join(short.values())), r"\p{Mn}", "")
+        spelled = F.replace(spelled, F.lit(k), F.lit(v))
+    spelled = F.when(plain.rlike("[" + "".join(long) + "]"), spelled).otherwise(plain)
+    out = F.regexp_replace(F.translate(spelled, "".join([*short, *gone]), "".join(short.values())), r"\p{Mn}", "")
+    return F.when(plain.rlike(r"[^\x00-\x7F]"), out).otherwise(plain)
 
 
 def _cleaned(text: Column) -> Column:
@@ -86,20 +91,21 @@ def address_tokens(address: Column) -> Column:
 
 
 def soundex(token: Column) -> Column:
-    """A sound code of a lower-case latin token: a folded first letter and three digits. h is skipped and vowels part
-    equal codes."""
+    """A sound code of a lower-case latin token: a folded first letter and three digits. Only letters count; h is skipped,
+    vowels part equal codes, and the first letter is coded as folded. A token without letters has an empty code."""
     folds = "".join(FIRST_FOLDS)
-    first = F.upper(F.translate(F.substring(token, 1, 1), folds, "".join(FIRST_FOLDS.values())))
-    coded = F.translate(token, "".join(SOUNDS.values()), "".join(k * len(v) for k, v in SOUNDS.items()))
-    coded = F.concat(F.regexp_replace(F.substring(coded, 1, 1), "[^1-6]", "0"), F.regexp_replace(F.replace(F.substring(coded, 2, 10_000), F.lit("h"), F.lit("")), "[^1-6]", "0"))
-    for digit in "0123456":
-        coded = F.regexp_replace(coded, f"{digit}+", digit)
+    letters = F.regexp_replace(F.coalesce(token, F.lit("")), "[^a-z]", "")
+    first = F.translate(F.substring(letters, 1, 1), folds, "".join(FIRST_FOLDS.values()))
+    sounding = F.concat(first, F.replace(F.substring(letters, 2, 10_000), F.lit("h"), F.lit("")))
+    coded = F.translate(sounding, "".join(SOUNDS.values()), "".join(k * len(v) for k, v in SOUNDS.items()))
+    coded = F.regexp_replace(F.regexp_replace(coded, "[^1-6]", "0"), r"(\d)\1+", "$1")
     code = F.rpad(F.substring(F.replace(F.substring(coded, 2, 10_000), F.lit("0"), F.lit("")), 1, 3), 3, "0")
-    return F.when(F.coalesce(token, F.lit("")) == "", "").otherwise(F.concat(first, code))
+    return F.when(letters == "", "").otherwise(F.concat(F.upper(first), code))
 
 
 def phonetic_key(name: Column) -> Column:
-    return F.array_join(F.array_sort(F.transform(significant_tokens(name), soundex)), "-")
+    """The sorted sound codes of the significant tokens; tokens without letters have none."""
+    return F.array_join(F.array_sort(F.array_remove(F.transform(significant_tokens(name), soundex), "")), "-")
 
 
 def normalize_birth_date(value: Column) -> Column:

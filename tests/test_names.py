@@ -1,3 +1,5 @@
+import random
+
 import duckdb
 from pyspark.sql import functions as F
 
@@ -20,6 +22,30 @@ def test_names(spark):
 
 def test_sounds(spark):
     assert one(spark, ["volkov", "wolkow", "kuznetsova", "kouznetsova", ""], N.soundex) == ["V421", "V421", "K253", "K253", ""]
+    assert one(spark, ["3com", "abc123", "studio54", "jkar", "100", None], N.soundex) == ["K500", "A120", "S330", "I260", "", ""]
+    assert one(spark, ["100 200", "Studio 54 Volkov", ""], N.phonetic_key) == ["", "S330-V421", ""]
+
+
+def reference_sound(token: str) -> str:
+    """Letter by letter, in plain Python."""
+    codes = {c: k for k, v in {"1": "bfpvw", "2": "cgjkqsxz", "3": "dt", "4": "l", "5": "mn", "6": "r"}.items() for c in v}
+    letters = [c for c in token if "a" <= c <= "z"]
+    if not letters:
+        return ""
+    first = {"w": "v", "c": "k", "y": "i", "j": "i", "q": "k", "x": "s"}.get(letters[0], letters[0])
+    said, last = "", codes.get(first, "")
+    for c in letters[1:]:
+        if c != "h":
+            code = codes.get(c, "")
+            said += code if code != last else ""
+            last = code
+    return (first.upper() + said + "000")[:4]
+
+
+def test_sounds_of_random_tokens(spark):
+    rng = random.Random(1)
+    tokens = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=rng.randrange(1, 9))) for _ in range(3000)]
+    assert one(spark, tokens, N.soundex) == [reference_sound(t) for t in tokens]
 
 
 def test_jaro_winkler_is_that_of_duckdb(spark):
