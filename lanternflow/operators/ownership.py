@@ -73,20 +73,30 @@ def descendants(e: DataFrame, starts: DataFrame, max_depth: int = MAX_DEPTH) ->
 def paths(e: DataFrame, starts: DataFrame, max_depth: int = MAX_DEPTH, limit: int | None = PATH_LIMIT) -> DataFrame:
     """root, node (the end), nodes, trail (edge_seq of each edge), depth, product (of shares), confidences: the simple
     paths over control edges from each start, every beginning of a path included. limit: so many per root, in the order
-    of a depth-first walk, which is the order of the trails."""
+    of a depth-first walk, which is the order of the trails; each level keeps no more, so a dense graph ends too."""
     hop = control(e).select("parent", "child", "edge_seq", "share_percent", "confidence", "n_statements")
     none = lambda t: F.array().cast(f"array<{t}>")
     front = starts.select("root", F.col("root").alias("node"), F.array("root").alias("nodes"), none("bigint").alias("trail"), F.lit(1.0).alias("product"), none("double").alias("confidences"), none("bigint").alias("counts"))
     found = None
-    for _ in range(max_depth):
+    for level in range(1, max_depth + 1):
         j = front.join(hop, F.col("node") == F.col("parent")).where(~F.array_contains("nodes", F.col("child")))
-        front = written(j.select("root", F.col("child").alias("node"), F.concat("nodes", F.array("child")).alias("nodes"), F.concat("trail", F.array(F.col("edge_seq").cast("bigint"))).alias("trail"), (F.col("product") * F.col("share_percent") / 100).alias("product"), F.concat("confidences", F.array("confidence")).alias("confidences"), F.concat("counts", F.array("n_statements")).alias("counts")))
+        step = j.select(
+            "root", F.col("child").alias("node"), F.concat("nodes", F.array("child")).alias("nodes"),
+            F.concat("trail", F.array(F.col("edge_seq").cast("bigint"))).alias("trail"), (F.col("product") * F.col("share_percent") / 100).alias("product"),
+            F.concat("confidences", F.array("confidence")).alias("confidences"), F.concat("counts", F.array("n_statements")).alias("counts"), F.lit(level).alias("depth"),
+        )
+        if limit is None:
+            front = written(step)
+            found = front if found is None else found.unionByName(front)
+        else:
+            # a path past the limit among those found so far never comes back, nor do its extensions, which follow it
+            every = step if found is None else found.unionByName(step)
+            first = F.row_number().over(Window.partitionBy("root").orderBy("trail"))
+            found = written(every.withColumn("__n", first).where(F.col("__n") <= limit).drop("__n"))
+            front = found.where(F.col("depth") == level)
         if not front.limit(1).count():
             break
-        found = front if found is None else found.unionByName(front)
-    found = (front if found is None else found).withColumn("depth", F.size("trail"))
-    if limit is not None:
-        found = found.withColumn("__n", F.row_number().over(Window.partitionBy("root").orderBy("trail"))).where(F.col("__n") <= limit).drop("__n")
+        front = front.drop("depth")
     return found
 
 

@@ -29,6 +29,22 @@ def _statements(df: DataFrame, **cols: Column) -> DataFrame:
     return df.select(*[whole[c].alias(c) for c in STATEMENT])
 
 
+def numbered(df: DataFrame) -> DataFrame:
+    """df with n, from 0 in the order of the file: the row's place in its partition after all rows of earlier ones."""
+    rows = df.withColumn("__id", F.monotonically_increasing_id())
+    part = F.shiftright("__id", 33)
+    sums = rows.groupBy(part.alias("__part")).agg(F.count(F.lit(1)).alias("here"))  # a row for each partition
+    before = sums.select("__part", (F.sum("here").over(Window.orderBy("__part")) - F.col("here")).alias("before"))
+    joined = rows.withColumn("__part", part).join(F.broadcast(before), "__part")
+    return joined.withColumn("n", F.col("before") + F.col("__id").bitwiseAND(F.lit(2**33 - 1))).drop("__id", "__part", "before")
+
+
+def in_order(source: int) -> Column:
+    """A number that orders rows by source, then by their place in it: bits 60 and up are the source's, the rest hold more
+    partitions than a job can have."""
+    return F.lit(source << 60) + F.monotonically_increasing_id()
+
+
 def first(values: Column) -> Column:
     return F.coalesce(F.try_element_at(values, F.lit(1)), F.lit(""))
 
@@ -54,7 +70,8 @@ def gleif_level1(spark: SparkSession, folder: str) -> DataFrame:
 def gleif_level2(spark: SparkSession, folder: str) -> DataFrame:
     """The start of a relationship is the child; its end the parent."""
     names = ["Relationship.StartNode.NodeID", "Relationship.EndNode.NodeID", "Relationship.RelationshipType", "Relationship.Status", "Registration.ValidationSources"]
-    d = csv(spark, f"{folder}/gleif_level2.csv", names).withColumn("n", F.row_number().over(Window.orderBy(F.monotonically_increasing_id())) - 1)
+    d = csv(spark, f"{folder}/gleif_level2.csv", names)
+    d = numbered(d)
     return _statements(
         d, statement_id=F.format_string("gleif-l2-%05d", "n"), source=F.lit("gleif_l2"), subject_record_id=F.concat(F.lit("lei-"), F.col(f"`{names[0]}`")), interested_record_id=F.concat(F.lit("lei-"), F.col(f"`{names[1]}`")),
         interest_type=F.lit("consolidation"), confidence=F.when(F.col(f"`{names[4]}`") == "FULLY_CORROBORATED", 1.0).otherwise(0.6), raw=F.create_map(F.lit("relationship"), F.col(f"`{names[2]}`")),
@@ -94,7 +111,7 @@ def icij(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     d = csv(spark, f"{folder}/icij_offshore_nodes.csv", ["node_id", "name", "node_type", "jurisdiction_description", "address", "sourceID"])
     records = _records(d, record_id=F.col("node_id"), source=F.lit("icij"), entity_type=F.when(F.col("node_type") == "officer", "person").otherwise("company"), name=F.col("name"), jurisdiction=F.col("jurisdiction_description"), address=F.col("address"))
     e = csv(spark, f"{folder}/icij_offshore_edges.csv", ["node_id_start", "node_id_end", "rel_type", "link", "start_date", "sourceID"])
-    e = e.withColumn("n", F.row_number().over(Window.orderBy(F.monotonically_increasing_id())) - 1)
+    e = numbered(e)
     share = F.coalesce(F.expr(r"try_cast(regexp_extract(link, '\\((\\d+(?:\\.\\d+)?)\\s*%\\)', 1) as double)"), F.lit(0.0))
     kind = F.when(F.col("rel_type") == "shareholder_of", "shareholding").otherwise(role("link"))
     return records, _statements(e, statement_id=F.format_string("icij-%05d", "n"), source=F.lit("icij"), subject_record_id=F.col("node_id_end"), interested_record_id=F.col("node_id_start"), interest_type=kind, share_percent=share, confidence=F.lit(0.75))
@@ -123,11 +140,11 @@ def load_all(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     parts = [opensanctions(spark, folder), gleif_level1(spark, folder), filed, companies_house(spark, folder), ofac(spark, folder), nodes, aggregator(spark, folder)]
     records = None
     for i, part in enumerate(parts):
-        part = part.withColumn("load_seq", F.lit(i * 10**12) + F.monotonically_increasing_id())
+        part = part.withColumn("load_seq", in_order(i))
         records = part if records is None else records.unionByName(part)
     statements = None
     for i, part in enumerate((gleif_level2(spark, folder), filings, links)):
-        part = part.withColumn("stmt_seq", F.lit(i * 10**12) + F.monotonically_increasing_id())
+        part = part.withColumn("stmt_seq", in_order(i))
         statements = part if statements is None else statements.unionByName(part)
     return first_wins(records), statements
 
