@@ -71,11 +71,13 @@ def normalize_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _soundex_sql(w: str) -> str:
-    coded = f"translate({w}, 'bfpvwcgjkqsxzdtlmnr', '1111122222222334556')"
-    coded = f"regexp_replace(substr({coded}, 1, 1), '[^1-6]', '0') || regexp_replace(replace(substr({coded}, 2), 'h', ''), '[^1-6]', '0', 'g')"
-    for digit in "0123456":
-        coded = f"regexp_replace({coded}, '{digit}+', '{digit}', 'g')"
-    return f"upper(translate(substr({w}, 1, 1), 'wcyjqx', 'vkiiks')) || rpad(substr(replace(substr({coded}, 2), '0', ''), 1, 3), 3, '0')"
+    """Letter by letter, over lists: what follows a letter of the same code is not said again."""
+    code = lambda x: f"case when {x} in ('b', 'f', 'p', 'v', 'w') then '1' when {x} in ('c', 'g', 'j', 'k', 'q', 's', 'x', 'z') then '2' when {x} in ('d', 't') then '3' when {x} = 'l' then '4' when {x} in ('m', 'n') then '5' when {x} = 'r' then '6' else '' end"
+    letters = f"list_filter(string_split({w}, ''), lambda x: x between 'a' and 'z')"
+    first = f"(case ({letters})[1] when 'w' then 'v' when 'c' then 'k' when 'y' then 'i' when 'j' then 'i' when 'q' then 'k' when 'x' then 's' else ({letters})[1] end)"
+    codes = f"list_concat([{code(first)}], list_transform(list_filter(({letters})[2:], lambda x: x <> 'h'), lambda y: {code('y')}))"
+    said = f"list_transform(list_filter(list_zip({codes}, ({codes})[2:]), lambda z: coalesce(z[2], '') <> '' and z[1] <> z[2]), lambda z: z[2])"
+    return f"(case when len({letters}) = 0 then '' else upper({first}) || substr(array_to_string({said}, '') || '000', 1, 3) end)"
 
 
 @query(f"""
@@ -292,7 +294,7 @@ r as (select *, row_number() over (partition by item_id order by round(score, 6)
 def _bm25(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
     d = table(spark, sf_dir, "documents").select("doc_id", retrieval.tokenize(F.col("text")).alias("tokens"))
     q = table(spark, sf_dir, "benchmark").select("item_id", retrieval.tokenize(F.col("text")).alias("tokens"))
-    return retrieval.top_k(retrieval.bm25(resolution.written(d), q, query="item_id").withColumn("score", F.round("score", 6)), k)
+    return retrieval.top_k(retrieval.bm25(d, q, query="item_id").withColumn("score", F.round("score", 6)), k)
 
 
 @query(_BM25_SQL + "select item_id query, doc_id doc, round(score, 6) score, rank from r where rank <= 5")
@@ -319,8 +321,7 @@ select query, doc, score, rank from r where rank <= 5""")
 def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
     q = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query"), F.col("v").alias("qv"))
-    scores = retrieval.dense_scores(e.select(F.col("vec_id").alias("doc"), F.col("v").alias("dv")), q)
-    return retrieval.top_k(scores.withColumn("score", F.round("score", 6)), 5)
+    return retrieval.dense_topk(e.select(F.col("vec_id").alias("doc"), F.col("v").alias("dv")), q, 5)
 
 
 def _cues_sql() -> str:
