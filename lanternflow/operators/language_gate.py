@@ -44,11 +44,11 @@ def citations(text: Column) -> Column:
 
 
 def verify_citations(memos: DataFrame, valid: DataFrame, memo: str = "memo_id") -> DataFrame:
-    """memo, cited, unresolved, rate: valid: id. No citation at all is a rate of 0."""
+    """memo, cited, unresolved, rate: valid: id. Without a citation nothing is unresolved and the rate is 1."""
     each = memos.select(F.col(memo).alias("memo"), F.explode_outer(citations(F.col("text"))).alias("id"))
     j = each.join(valid.select("id").distinct().withColumn("ok", F.lit(1)), "id", "left")
     c = j.groupBy("memo").agg(F.count("id").alias("cited"), F.count_if(F.col("id").isNotNull() & F.col("ok").isNull()).alias("unresolved"))
-    return c.withColumn("rate", F.when(F.col("cited") > 0, 1 - F.col("unresolved") / F.col("cited")).otherwise(0.0))
+    return c.withColumn("rate", F.when(F.col("cited") > 0, 1 - F.col("unresolved") / F.col("cited")).otherwise(1.0))
 
 
 def uncited_claims(text: Column) -> Column:

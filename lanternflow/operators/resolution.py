@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import logging
+import re
 import tempfile
 import uuid
 
@@ -21,9 +22,14 @@ BROADCAST_BYTES = 32 << 20
 
 
 def written(df: DataFrame) -> DataFrame:
-    """df as a table in the shared checkpoint folder: cuts lineage, outlives executors."""
+    """df as a table in the shared checkpoint folder: cuts lineage, outlives executors. A session that names none gets one of
+    the machine only where driver and executors are one process."""
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.gettempdir()
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not folder:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("on a cluster spark.checkpoint.dir has to name a folder that the driver and all executors share")
+        folder = "file://" + tempfile.gettempdir()
     path = f"{folder.rstrip('/')}/lanternflow-step-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -2,7 +2,7 @@ import itertools
 import random
 
 from lanternflow.operators import drift, evaluation, language_gate, ownership, retrieval
-from lanternflow.operators.workflow import Workflow, WorkflowError, audit_trail, record_decision
+from lanternflow.operators.workflow import Workflow, WorkflowError, audit_trail, record_decision, to_mermaid
 from pyspark.sql import functions as F
 
 import pytest
@@ -80,7 +80,7 @@ def test_gate_and_citations(spark):
     assert [x.passed for x in r] == [True, False, True, False] and r[1].n_violations == 2
     m = spark.createDataFrame([(1, "As [reg:FATF-R10] and [see figure 2] say [cite:none]."), (2, "")], "memo_id int, text string")
     v = {x.memo: x for x in language_gate.verify_citations(m, spark.createDataFrame([("FATF-R10",)], "id string")).collect()}
-    assert (v[1].cited, v[1].unresolved, v[1].rate, v[2].rate) == (2, 1, 0.5, 0.0)
+    assert (v[1].cited, v[1].unresolved, v[1].rate, v[2].rate) == (2, 1, 0.5, 1.0)
 
 
 def test_drift_and_gates(spark):
@@ -96,8 +96,14 @@ def test_registry(tmp_path):
     r = evaluation.Registry(str(tmp_path / "r.json"))
     r.register({k: 1.0 for k in evaluation.GATES})
     r.register({k: 1.0 for k in evaluation.GATES} | {"er_f1": 0.1})
-    assert r.promote(1).status == "production" and r.promote(2).failed == ["er_f1"]
-    assert evaluation.Registry(str(tmp_path / "r.json")).versions[0].status == "production"
+    assert r.promote(1)["promoted"] and r.promote(2) == {"promoted": False, "version": 2, "forced": False, "failed": ["er_f1"]}
+    again = evaluation.Registry(str(tmp_path / "r.json"))
+    assert again.versions[0].stage == "production" and again.versions[1].gates[0] == {"gate": "er_f1", "minimum": 0.9, "actual": 0.1, "passed": False}
+    assert again.compare({"er_f1": 0.5, "new": 1.0}) == {"baseline": 1, "deltas": {"er_f1": -0.5}, "regressions": {"er_f1": -0.5}}
+    with pytest.raises(KeyError):
+        r.promote(0)
+    assert r.promote(2, force=True)["forced"] and r.production().version == 2 and r.versions[0].stage == "archived"
+    assert r.summary()["production"] == 2 and "FAIL er_f1: 0.1000, at least 0.9" in evaluation.gate_report(r.versions[1])
 
 
 def test_workflow(spark):
@@ -106,7 +112,15 @@ def test_workflow(spark):
     assert paused["paused"] == "gate"
     with pytest.raises(WorkflowError):
         record_decision(paused, "maybe", "someone", "today")
-    done = w.run(record_decision(paused, "approve", "someone", "today"))
+    done = w.run(record_decision(paused, "clear", "someone", "today"))
     assert done["y"] == 1 and audit_trail(spark, done).count() == 3
     with pytest.raises(WorkflowError):
         Workflow("a", {"a": lambda s: s}).validate()
+    again = w.run({})
+    assert w.resume(again, "escalate", "someone", "later")["decision"]["decision"] == "escalate" and len(w.history()) == 1 + 2 + 1 + 2
+    with pytest.raises(WorkflowError):
+        w.resume(done, "clear", "someone", "later")
+    routed = Workflow("a", {"a": lambda s: {}, "b": lambda s: {}}, {"b": "end"}, {"a": lambda s: "yes"}, ways={"a": {"yes": "b", "no": "end"}})
+    assert routed.run({})["visited"] == ["a", "b"] and "a -->|no| end" in to_mermaid(routed)
+    with pytest.raises(WorkflowError):
+        Workflow("a", {"a": lambda s: {}}, {}, {"a": lambda s: "yes"}, ways={"a": {"yes": "missing"}}).validate()
