@@ -13,9 +13,9 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from functools import cache
 from zlib import crc32
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -24,25 +24,23 @@ from pyspark.sql import functions as F
 from .common import mapped, remainder, saved, word_bytes
 from .labelled import training_rows
 
-#: At most about this many labelled documents are learned from.
+#: At most about this many labelled documents are mined for terms, and this many of them teach the classifier.
 TRAIN_ROWS = 8_000
+FIT_ROWS = 4_000
 #: A mined term stands in so many toxic documents at least, has such a log-likelihood ratio and such a share of toxic ones.
 LEAST_TOXIC = 4
 LEAST_RATIO = 24.0
 LEAST_SHARE = 0.3
 STEMS = range(4, 11)
 ROUNDS = 60
-#: Hashed features: words, and letter 4-grams of words with their edges marked.
+#: Hashed features: words in the upper half, and byte 4-grams of words with their edges marked in the lower one.
 DIMENSIONS = 1 << 18
-GRAM = 4
-RIDGE = 0.3
+RIDGE = 0.5
 STEPS = 60
 #: Scale of the features that count lexicon words: as much ridge on them as on so many n-grams less.
 COUNTED = 2.0
-#: Words whose features a Python worker remembers.
-REMEMBERED = 100_000
-#: Ordinary features of texts of more distinct words than this weigh less, so that a long text is not judged by its length.
-DISTINCT = 50
+#: Ordinary features of texts with more of them than this weigh less, so that a long text is not judged by its length.
+DISTINCT = 300
 #: Three fixed lexicons, mined words, mined beginnings, and how many words at most one of both sources has.
 LEXICON_FEATURES = 6
 # Lexicons by kind.
@@ -116,30 +114,49 @@ def mined(train: DataFrame) -> list[str]:
     return accepted
 
 
+def joined_words(text: str | None) -> bytes:
+    """The words of a text with a blank before, between and behind; one blank without words."""
+    words = word_bytes(text)
+    return b" " + b" ".join(words) + b" " if words else b" "
+
+
 class Voters:
     """Votes on a text in the order of VOTERS: 1 toxic, 0 not toxic, -1 no opinion."""
 
     def __init__(self, found: list[str] = ()):
         self.words = frozenset(x for x in found if x[-1] != "*")
         self.stems = frozenset(x[:-1] for x in found if x[-1] == "*")
-        self.lengths = sorted({len(x) for x in self.stems})
-
-    def kinds(self, word: str) -> list[int]:
-        """The lexicons that have the word: fixed ones, mined words, mined beginnings."""
-        found = [i for i, lexicon in enumerate((*LEXICONS, self.words)) if word in lexicon]
-        return [*found, len(LEXICONS) + 1] if any(word[:k] in self.stems for k in self.lengths) else found
+        self._automaton = None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_automaton": None}  # each worker makes its own
+
+    def hits(self, joined: bytes) -> np.ndarray:
+        """How many words each lexicon has: the fixed ones, mined words, mined beginnings. One pass of an automaton."""
+        if self._automaton is None:
+            kinds: dict[str, list[int]] = {}
+            for i, lexicon in enumerate((*LEXICONS, self.words)):
+                for w in lexicon:
+                    kinds.setdefault(f" {w} ", []).append(i)
+            for stem in self.stems:
+                kinds.setdefault(f" {stem}", []).append(len(LEXICONS) + 1)
+            self._automaton = ahocorasick.Automaton()
+            for pattern, of in kinds.items():
+                self._automaton.add_word(pattern, of)
+            self._automaton.make_automaton()
+        found = np.zeros(len(LEXICONS) + 2, int)
+        for _, of in self._automaton.iter(joined.decode("utf-8", "replace")):
+            found[of] += 1
+        return found
 
     def __call__(self, text: str | None) -> list[int]:
-        raw = text or ""
-        words = [w.decode("utf-8", "replace") for w in word_bytes(raw)]
-        hits = np.zeros(len(LEXICONS) + 2, int)
-        for w, n in Counter(words).items():
-            hits[self.kinds(w)] += n
-        total, joined = total_of(hits), " ".join(words)
+        raw, joined = text or "", joined_words(text)
+        hits, n = self.hits(joined), joined.count(b" ") - 1
+        total, spoken = total_of(hits), joined.decode("utf-8", "replace")
         disguised = any(m[0].lower().translate(DISGUISE) in INSULTS for m in _DISGUISED.finditer(raw))
         shouted = any({"you", "your", *INSULTS} & set(re.findall("[a-z]+", m[0].lower())) for m in _SHOUTED.finditer(raw))
-        patterns = [bool(ADDRESS.search(joined)), bool(THREAT.search(joined)), disguised, shouted]
-        dense = 1 if total >= 2 and total > 0.002 * len(words) else 0 if total and total < 0.001 * len(words) else -1
+        patterns = [bool(ADDRESS.search(spoken)), bool(THREAT.search(spoken)), disguised, shouted]
+        dense = 1 if total >= 2 and total > 0.002 * n else 0 if total and total < 0.001 * n else -1
         quiet = 0 if total <= 1 and not any(patterns) else -1
         return [*(1 if k >= 2 else -1 for k in hits), *(1 if p else -1 for p in patterns), dense, quiet]
 
@@ -202,22 +219,26 @@ def _correlated(votes: np.ndarray, post: np.ndarray, least: float = 0.3) -> list
     return groups
 
 
-@cache
-def _remembered() -> dict[bytes, np.ndarray]:
-    return {}
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+_POWERS = np.array([pow(0x100000001B3, i, 2**64) for i in range(4096)], np.uint64)
 
 
-def parts(word: bytes) -> np.ndarray:
-    """The hashed features of a word: itself, and its letter n-grams between edge marks."""
-    known = _remembered()
-    if (found := known.get(word)) is None:
-        edged = b"<" + word[:64] + b">"
-        grams = {edged[i : i + GRAM] for i in range(max(1, len(edged) - GRAM + 1))}
-        found = np.array(sorted({crc32(word, 1) % DIMENSIONS, *(crc32(g, 2) % DIMENSIONS for g in grams)}), np.int64)
-        if len(known) >= REMEMBERED:
-            known.clear()
-        known[word] = found
-    return found
+def hashed(joined: bytes) -> np.ndarray:
+    """The distinct hashed features of joined words, in order. All words at once: a word's hash is a sum over its bytes, each
+    times a power by its place."""
+    a = np.frombuffer(joined, np.uint8).astype(np.uint64)
+    if len(a) < 3:
+        return np.zeros(0, np.int32)
+    half = np.uint64(64 - DIMENSIONS.bit_length() + 2)
+    blank = np.flatnonzero(a == 32)
+    inside = np.arange(len(a) - 1) - np.repeat(blank[:-1], np.diff(blank)) - 1  # of each byte but the last blank
+    product = np.where(inside >= 0, a[:-1] * _POWERS[np.clip(inside, 0, len(_POWERS) - 1)], np.uint64(0))
+    words = (np.add.reduceat(product, blank[:-1]) * _MIX) >> half
+    grams = ((a[:-3] * np.uint64(257) + a[1:-2]) * np.uint64(257) + a[2:-1]) * np.uint64(257) + a[3:]
+    grams = grams[(a[1:-2] != 32) & (a[2:-1] != 32)]
+    grams = ((grams + np.uint64(1 << 40)) * _MIX) >> half
+    found = np.sort(np.concatenate((grams.astype(np.int32), words.astype(np.int32) + np.int32(DIMENSIONS // 2))))
+    return found[np.append(True, found[1:] != found[:-1])]
 
 
 def counted(hits: np.ndarray) -> np.ndarray:
@@ -227,33 +248,24 @@ def counted(hits: np.ndarray) -> np.ndarray:
 
 def features(text: str | None, voters: Voters) -> tuple[np.ndarray, np.ndarray]:
     """Positions and values of the hashed features of a text, and after them those of the lexicons."""
-    counts = Counter(word_bytes(text))
-    hits = np.zeros(len(LEXICONS) + 2, int)
-    for w, n in counts.items():
-        hits[voters.kinds(w.decode("utf-8", "replace"))] += n
-    at, x = np.zeros(0, np.int64), np.zeros(0)
-    if counts:
-        found = [parts(w) for w in counts]
-        weight = weight_of(counts) * (1 + np.log2(np.fromiter(counts.values(), float)))
-        at, inverse = np.unique(np.concatenate(found), return_inverse=True)
-        x = np.bincount(inverse, np.repeat(weight, [len(p) for p in found]))
-    extra = counted(hits)
-    return np.append(at, DIMENSIONS + np.arange(len(extra))), np.append(x, extra)
+    joined = joined_words(text)
+    at, extra = hashed(joined), counted(voters.hits(joined))
+    return np.append(at, DIMENSIONS + np.arange(len(extra))), np.append(np.full(len(at), weight_of(at)), extra)
 
 
-def weight_of(counts: Counter) -> float:
-    return min(1.0, math.sqrt(DISTINCT / max(1, len(counts))))
+def weight_of(found: np.ndarray) -> float:
+    return min(1.0, math.sqrt(DISTINCT / max(1, len(found))))
 
 
 def linear(rows: list[tuple[np.ndarray, np.ndarray]], p: np.ndarray) -> tuple[np.ndarray, float]:
     """Weights and constant of a logistic regression on probabilities as labels, by L-BFGS. Features of a single row are left out."""
-    at, x = np.concatenate([r[0] for r in rows]), np.concatenate([r[1] for r in rows])
+    at, x = np.concatenate([r[0] for r in rows]), np.concatenate([r[1] for r in rows])  # 4 bytes each
     if not len(at):
         return np.zeros(DIMENSIONS + LEXICON_FEATURES, np.float32), -3.0
-    row = np.repeat(np.arange(len(rows)), [len(r[0]) for r in rows])
+    row = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r[0]) for r in rows])
     kept, at = np.unique(at, return_inverse=True)
     often = np.bincount(at) >= 2
-    number = np.cumsum(often) - 1
+    number = (np.cumsum(often) - 1).astype(np.int32)
     use = often[at]
     at, x, row, kept = number[at[use]], x[use], row[use], kept[often]
 
@@ -307,13 +319,15 @@ def fit(train: DataFrame) -> tuple[np.ndarray, tuple[float, float], Voters] | No
         columns = [pa.array([voters(t) for t in texts], pa.list_(pa.int8())), pa.array([m[0].astype("<i4").tobytes() for m in made], pa.binary()), pa.array([m[1].astype("<f4").tobytes() for m in made], pa.binary())]
         return pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", "votes", "at", "x"])
 
-    found = sorted(mapped(train.select("doc_id", "text"), of, "doc_id string, votes array<tinyint>, at binary, x binary").collect())  # bounded by TRAIN_ROWS and DIMENSIONS
+    share = min(1.0, FIT_ROWS / max(1, train.count()))
+    some = train.where(F.pmod(F.xxhash64(F.lit(13), "doc_id"), F.lit(1_000_000)) < share * 1_000_000)
+    found = sorted(mapped(some.select("doc_id", "text"), of, "doc_id string, votes array<tinyint>, at binary, x binary").collect())  # bounded by FIT_ROWS and DIMENSIONS
     if not found:
         return None
     post = label_model(np.array([r["votes"] for r in found], np.int64))
     if post.max() < 0.5:
         return None
-    rows = [(np.frombuffer(r["at"], "<i4").astype(np.int64), np.frombuffer(r["x"], "<f4").astype(float)) for r in found]
+    rows = [(np.frombuffer(r["at"], "<i4"), np.frombuffer(r["x"], "<f4")) for r in found]
     # two parts, as features of the lexicons in one would explain away what other words tell
     by_words = linear([(at[:-LEXICON_FEATURES], x[:-LEXICON_FEATURES]) for at, x in rows], post)
     by_hits = linear([(at[-LEXICON_FEATURES:], x[-LEXICON_FEATURES:]) for at, x in rows], post)
@@ -326,22 +340,16 @@ def scores(documents: DataFrame, train: DataFrame) -> DataFrame:
     model = fit(train)
 
     def of(batch: pa.RecordBatch) -> pa.RecordBatch:
-        known: dict[bytes, tuple[float, list[int]]] = {}
         total = []
         for text in batch.column(1).to_pylist():
-            counts = Counter(word_bytes(text))
+            joined = joined_words(text)
             if model is None:
-                total.append(-3.0 + 2.5 * min(3, sum(counts[w.encode()] for w in INSULTS)))
+                total.append(-3.0 + 2.5 * min(3, total_of(Voters().hits(joined))))
                 continue
             weights, (of_words, of_hits), voters = model
-            z, hits = 0.0, np.zeros(len(LEXICONS) + 2, int)
-            for w, n in counts.items():
-                if (c := known.get(w)) is None:
-                    c = known[w] = float(weights[parts(w)].sum()), voters.kinds(w.decode("utf-8", "replace"))
-                z += c[0] * (1 + math.log2(n))
-                if c[1]:
-                    hits[c[1]] += n
-            total.append(max(of_words + weight_of(counts) * z, of_hits + float(counted(hits) @ weights[DIMENSIONS:])))
+            at = hashed(joined)
+            by_words = of_words + weight_of(at) * float(weights[at].sum())
+            total.append(max(by_words, of_hits + float(counted(voters.hits(joined)) @ weights[DIMENSIONS:])))
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(1 / (1 + np.exp(-np.clip(np.array(total, float), -30, 30))), pa.float64())], names=["doc_id", "score"])
 
     docs = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
