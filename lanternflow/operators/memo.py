@@ -15,7 +15,7 @@ def chain_view(nodes: DataFrame, e: DataFrame, targets: DataFrame, max_depth: in
     steps = deepest.select("root", F.posexplode("trail").alias("step", "edge_seq")).join(e.withColumn("edge_seq", F.col("edge_seq").cast("bigint")), "edge_seq")
     name = lambda side: nodes.select(F.col("entity_id").alias(side), F.col("canonical_name").alias(f"{side}_name"), F.col("jurisdiction").alias(f"{side}_jurisdiction"))
     j = steps.join(name("parent"), "parent", "left").join(name("child"), "child", "left")
-    return j.select("root", "step", "parent", F.coalesce("parent_name", "parent").alias("parent_name"), "child", F.coalesce("child_name", "child").alias("child_name"), "child_jurisdiction", "interest_type", "share_percent", "confidence", "statements")
+    return j.select("root", "step", "parent", F.coalesce("parent_name", F.col("parent").cast("string")).alias("parent_name"), "child", F.coalesce("child_name", F.col("child").cast("string")).alias("child_name"), "child_jurisdiction", "interest_type", "share_percent", "confidence", "statements")
 
 
 def _lines(items: Column, line) -> Column:

@@ -59,7 +59,7 @@ def blocking_keys(records: DataFrame) -> DataFrame:
     keyed = lambda values, family: F.transform(values, lambda v: F.struct(F.lit(family).alias("key_type"), F.concat(kind, F.lit("|"), v).alias("key")))
     forms = records.select("record_id", "entity_type", F.explode(name_forms(F.col("name"), F.col("aliases"))).alias("form"))
     forms = forms.withColumn("norm", N.normalize_name(F.col("form"))).withColumn("sig", F.filter(F.array_remove(F.split("norm", " "), ""), lambda t: F.length(t) >= 3))
-    forms = forms.withColumn("sorted", F.array_sort(F.array_distinct("sig"))).withColumn("sounds", F.array_join(F.array_sort(F.transform("sig", N.soundex)), "-"))
+    forms = forms.withColumn("sorted", F.array_sort(F.array_distinct("sig"))).withColumn("sounds", F.array_join(F.array_sort(F.array_remove(F.transform("sig", N.soundex), "")), "-"))
     prefix = F.substring(F.replace("norm", F.lit(" "), F.lit("")), 1, PREFIX_LENGTH)
     nonblank = lambda c: F.filter(F.array(c), lambda x: x != "")
     by_name = forms.select("record_id", F.explode(F.concat(keyed(combinations_of_two(F.col("sorted")), "name_tokens"), keyed(nonblank(prefix), "prefix"), keyed(nonblank(F.col("sounds")), "phonetic"))).alias("k"))
@@ -94,6 +94,15 @@ def blocking_report(records: DataFrame, keys: DataFrame, pairs: DataFrame, max_b
     return one.select("records", "blocks", "dropped_blocks", "candidate_pairs", every.cast("bigint").alias("all_pairs"), F.when(every > 0, 1 - F.col("candidate_pairs") / every).otherwise(0.0).alias("reduction_ratio"), F.when(F.col("records") > 0, F.col("keys") / F.col("records")).otherwise(0.0).alias("keys_per_record"))
 
 
+def block_counts(keys: DataFrame, max_block: int = MAX_BLOCK) -> DataFrame:
+    """key_type, blocks, dropped_blocks, dropped_pairs and kept_pairs (before pairs of several keys count once)."""
+    b = keys.groupBy("key_type", "key").agg(F.count(F.lit(1)).alias("n"))
+    pairs = (F.col("n") * (F.col("n") - 1) / 2).cast("bigint")
+    over = F.col("n") > max_block
+    total = lambda test: F.coalesce(F.sum(F.when(test, pairs)), F.lit(0)).cast("bigint")
+    return b.groupBy("key_type").agg(F.count(F.lit(1)).alias("blocks"), F.count_if(over).alias("dropped_blocks"), total(over).alias("dropped_pairs"), total(~over).alias("kept_pairs"))
+
+
 def true_pairs(members: DataFrame) -> DataFrame:
     """cluster_id, record_id -> a, b: all pairs of a truth cluster."""
     return members.select("cluster_id", F.col("record_id").alias("a")).join(members.select("cluster_id", F.col("record_id").alias("b")), "cluster_id").where("a < b").select("a", "b").distinct()
@@ -112,7 +121,7 @@ def prepared(records: DataFrame) -> DataFrame:
     forms = F.transform(name_forms(F.col("name"), F.col("aliases")), lambda f: F.struct(N.normalize_name(f).alias("norm")))
     r = records.select("record_id", "entity_type", forms.alias("f0"), N.significant_tokens(F.col("name")).alias("name_sig"), N.address_tokens(F.col("address")).alias("addr"), N.normalize_jurisdiction(F.col("jurisdiction")).alias("jur"), N.normalize_birth_date(F.col("birth_date")).alias("dob"), N.normalize_identifier(F.col("identifier")).alias("ident"))
     sig = lambda x: F.filter(F.array_remove(F.split(x["norm"], " "), ""), lambda t: F.length(t) >= 3)
-    return r.withColumn("forms", F.transform("f0", lambda x: F.struct(x["norm"].alias("norm"), sig(x).alias("sig"), F.array_join(F.array_sort(F.transform(sig(x), N.soundex)), "-").alias("sound")))).drop("f0")
+    return r.withColumn("forms", F.transform("f0", lambda x: F.struct(x["norm"].alias("norm"), sig(x).alias("sig"), F.array_join(F.array_sort(F.array_remove(F.transform(sig(x), N.soundex), "")), "-").alias("sound")))).drop("f0")
 
 
 def score_pairs(records: DataFrame, pairs: DataFrame) -> DataFrame:
