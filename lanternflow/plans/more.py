@@ -82,6 +82,37 @@ def trade_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("nodes", "edges", "control_edges", "roots", "cycles", "secrecy_nodes")
 
 
+_IN_SECRECY = "in (" + ", ".join(f"'{x}'" for x in sorted(ownership.SECRECY)) + ")"
+#: The fourteen features and the score, from paths enumerated by SQL.
+demo.SQL["trade_risk"] = demo._TRADE_SQL + f"""b(root, node, nodes, trail, prod) as (select n_nationkey::bigint, n_nationkey::bigint, [n_nationkey::bigint], []::bigint[], 1.0::double from nation
+  union all select root, c, list_append(nodes, c), list_append(trail, seq::bigint), prod * share / 100 from b join e on node = p where len(trail) < 12 and not list_contains(nodes, c)),
+nn as (select n_nationkey::bigint id, lower(n_name) nm, upper(substr(n_name, 1, 2)) j from nation),
+mine as (select * from (select *, row_number() over (partition by root order by trail) k from b where len(trail) > 0) where k <= 200),
+tops as (select id from nn where id not in (select c from e)),
+short as (select * from (select *, row_number() over (partition by root order by trail) k from b where len(trail) between 1 and 8 and root in (select id from tops)) where k <= 200),
+central as (select node, count(*) / (select count(*) from short) cen from (select unnest(nodes[2:len(nodes) - 1]) node from short) group by node),
+served as (select node, count(distinct root) n from (select root, unnest(nodes[2:len(nodes) - 1]) node from mine where root in (select id from tops)) group by node),
+w(start, node, nodes) as (select p, c, [p, c] from e where p < c union all select start, c, list_append(nodes, c) from w join e on node = p where c > start and not list_contains(nodes, c) and len(nodes) < 8),
+circle as (select distinct unnest(nodes) node from w join e on w.node = e.p and w.start = e.c),
+g(root, node, depth) as (select id, id, 0 from nn union select root, c, depth + 1 from g join e on node = p where depth < 12),
+below as (select root, count(distinct node) controlled_count from g where node <> root group by root),
+deep as (select root, len(trail) chain_depth, nodes chain from (select *, row_number() over (partition by root order by len(trail) desc, trail) t from mine) where t = 1),
+at0 as (select root, chain, unnest(range(1, len(chain) + 1)) i from deep),
+at1 as (select root, chain, i, chain[i] node, nn.nm, nn.j, i > 1 and i < len(chain) mid, coalesce(cen, 0) cen, coalesce(served.n, 0) srv, circle.node is not null cyc, lag(nn.j) over (partition by root order by i) bj
+  from at0 join nn on chain[i] = nn.id left join central on central.node = nn.id left join served on served.node = nn.id left join circle on circle.node = nn.id),
+per as (select root, count(*) filter (where bj <> '' and j <> '' and bj <> j) jurisdiction_hops, count(*) filter (where j {_IN_SECRECY}) secrecy_hops, count(*) filter (where j {_IN_SECRECY}) / count(*) secrecy_ratio, max(cyc::int) in_cycle,
+  coalesce(max(cen) filter (where mid), 0) max_intermediary_centrality, count(*) filter (where mid and srv > 1) shared_intermediaries, count(*) filter (where mid and srv > 1 and (regexp_matches(nm, '{ownership.NOMINEE}') or j {_IN_SECRECY})) nominee_intermediaries from at1 group by root),
+own as (select root, count(distinct e.p) secrecy_co_owners from at1 join e on e.c = at1.node join nn on nn.id = e.p where i > 1 and not list_contains(chain, e.p) and nn.j {_IN_SECRECY} group by root),
+eff as (select root, node, 100 * max(prod) x from mine group by all having max(prod) > 0), held as (select root, min(x) lo, count(*) filter (where x < 25) sub_threshold_holdings from eff group by root),
+dir as (select p root, max(share) d from e group by p),
+f as (select nn.id, chain_depth is not null has, coalesce(chain_depth, 0) chain_depth, coalesce(controlled_count, 0) controlled_count, per.*, coalesce(secrecy_co_owners, 0) secrecy_co_owners, 1.0 mean_edge_confidence, 1.0 single_source_edges,
+  coalesce(sub_threshold_holdings, 0) sub_threshold_holdings, case when lo is not null then greatest(coalesce(d, 0) - lo, 0) else 0 end ownership_attenuation
+  from nn left join deep on deep.root = nn.id left join below on below.root = nn.id left join per on per.root = nn.id left join own on own.root = nn.id left join held on held.root = nn.id left join dir on dir.root = nn.id),
+sc as (select *, case when has then {" + ".join(f"{w} * coalesce({k}, 0)" for k, w in ownership.RULE_WEIGHTS.items())} else {ownership.RULE_WEIGHTS["mean_edge_confidence"]} end score from f)
+select id entity_id, round(score, 6) score, score >= 1 flagged, (has and chain_depth >= 4)::int + (has and secrecy_hops >= 2)::int + (has and jurisdiction_hops >= 3)::int + (has and in_cycle > 0)::int + (has and nominee_intermediaries > 0)::int + (has and secrecy_co_owners > 0)::int
+  + (has and max_intermediary_centrality >= 0.1)::int + (has and sub_threshold_holdings > 0)::int n_reasons from sc"""
+
+
 # ---- weights, truth, gates ----------------------------------------------------------------------------------------
 
 _TRIALS = ", ".join(f"({', '.join(map(repr, t))})" for t in evaluation.trial_weights(400, 11))
@@ -150,26 +181,31 @@ def citation_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_gate.verify_citations(memos, valid)
 
 
-def _gate_sql() -> str:
+def _gate_sql(source: str, key: str) -> str:
+    """key and the verdict on each text x of source."""
     quoted = lambda p: p.replace("'", "''")
     hits = [rf"regexp_matches(regexp_replace(s, '\b(not|never|neither|no)\b[^.]{{0,30}}\b{w}\w*\b', ' ', 'g'), '\b{w}\w*\b')::int" for w in language_gate.ADVERSE]
     hits += [f"regexp_matches(s, '{quoted(p)}')::int" for p in language_gate.DISQUALIFYING]
     return rf"""
-with t as (select conv_id, turn, lower(coalesce(text, '') || said) low, coalesce(text, '') || said x from conversations,
-  (select turn tn, case turn % 4 when 0 then ' The minister is corrupt. We do not onboard.' when 1 then ' A PEP match needs enhanced due diligence. It is not an adverse finding on the PEP.' when 2 then ' The PEP was never guilty of fraud.' else '' end said from (select distinct turn from conversations)) where turn = tn),
-s as (select conv_id, turn, low, list_filter(list_transform(string_split(regexp_replace(x, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda y: trim(y, ' ')), lambda z: regexp_matches(z, '{quoted(language_gate.CONTEXT)}')) ss from t),
-u as (select conv_id, turn, unnest(list_transform(ss, lambda y: lower(y))) s from s), v as (select conv_id, turn, sum({" + ".join(hits)})::bigint n from u group by all)
-select conv_id, turn, len(ss) > 0 pep_mentioned, coalesce(n, 0) n_violations,
-  len(ss) > 0 and contains(low, 'enhanced due diligence') and (contains(low, 'not an adverse finding') or contains(low, 'not itself an adverse') or contains(low, 'does not')) framing_present from s left join v using (conv_id, turn)"""
+with t as (select {key}, x, lower(x) low from ({source})),
+s as (select {key}, low, list_filter(list_transform(string_split(regexp_replace(x, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda y: trim(y, ' ')), lambda z: regexp_matches(z, '{quoted(language_gate.CONTEXT)}')) ss from t),
+u as (select {key}, unnest(list_transform(ss, lambda y: lower(y))) s from s), v as (select {key}, sum({" + ".join(hits)})::bigint n from u group by all),
+f as (select {key}, len(ss) > 0 pep_mentioned, coalesce(n, 0) n_violations, len(ss) > 0 and contains(low, 'enhanced due diligence') and (contains(low, 'not an adverse finding') or contains(low, 'not itself an adverse') or contains(low, 'does not')) framing_present from s left join v using ({key}))
+select {key}, pep_mentioned, n_violations, framing_present, not pep_mentioned or (n_violations = 0 and framing_present) passed from f"""
+
+
+demo.SQL["language_gate_check"] = _gate_sql("select doc_id, coalesce(text, '') x from documents", "doc_id")
+_TURNS_SQL = """select conv_id, turn, coalesce(text, '') || case turn % 4 when 0 then ' The minister is corrupt. We do not onboard.' when 1 then ' A PEP match needs enhanced due diligence. It is not an adverse finding on the PEP.'
+  when 2 then ' The PEP was never guilty of fraud.' else '' end x from conversations"""
 
 
-@query(_gate_sql())
+@query(_gate_sql(_TURNS_SQL, "conv_id, turn"))
 def language_gate_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns of conversations, each with a sentence or two added that the gate has to judge."""
     c = table(spark, sf_dir, "conversations")
     said = F.when(F.col("turn") % 4 == 0, " The minister is corrupt. We do not onboard.").when(F.col("turn") % 4 == 1, " A PEP match needs enhanced due diligence. It is not an adverse finding on the PEP.").when(F.col("turn") % 4 == 2, " The PEP was never guilty of fraud.").otherwise("")
     d = language_gate.language_check(c.select("conv_id", "turn", F.concat(F.coalesce("text", F.lit("")), said).alias("text")))
-    return d.select("conv_id", "turn", "pep_mentioned", "n_violations", "framing_present")
+    return d.select("conv_id", "turn", "pep_mentioned", "n_violations", "framing_present", "passed")
 
 
 @query(demo._BM25_SQL + f""", head as (select * from r where rank <= 20), dd as (select doc_id, list_distinct(w) w from d where doc_id in (select doc_id from head)),
