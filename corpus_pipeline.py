@@ -14,22 +14,29 @@ from lanternflow.llm.common import saved
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The rows that pass the base rules and the fences of their language and source. Null and empty texts fail; null
+    languages and sources are groups of their own; repeated rows are judged alike; columns stay as they are."""
     return qrules.filtered(docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All rows, with the text cut to its kept lines and n_chars after it. A text that loses all its lines becomes empty."""
     return linededup.deduplicated(docs).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each component: that of the smallest doc_id, null last, then of the smallest hash of its text. Empty texts
+    are one component."""
     return simhash.one_of_each(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows without the words that stand in windows of one benchmark item; rows with windows of several items go."""
     return decontam.decontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each row: how many of its words the mix takes, with what that follows from. Null sources are one source."""
     return mixing.mixed(docs)
 
 
@@ -46,6 +53,8 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages over the whole table of documents, each over a saved table of what its predecessor kept. An empty table
+    gives an empty result; other columns of documents, whatever their names, go along up to the last stage."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for at, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
