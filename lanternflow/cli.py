@@ -1,4 +1,4 @@
-"""Commands: registers, resolve, graph, rank, screen, guidance, drift, registry, workflow. Each prints a small table or
+"""Commands: registers, resolve, graph, rank, screen, guidance, drift, eval, registry, workflow. Each prints a small table or
 writes Parquet with --out."""
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lanternflow.operators import drift, evaluation, ownership, resolution, screening, workflow
+from lanternflow.operators import drift, evaluation, ownership, report, resolution, screening, workflow
 from lanternflow.sources import guidance, registers
 
 
@@ -35,11 +35,13 @@ def decided(spark: SparkSession, a: argparse.Namespace) -> dict:
 
 def main(argv: list[str] | None = None) -> None:
     p = argparse.ArgumentParser(prog="lanternflow", description=__doc__)
-    p.add_argument("command", choices=["registers", "resolve", "graph", "rank", "screen", "guidance", "drift", "registry", "workflow"])
+    p.add_argument("command", choices=["registers", "resolve", "graph", "rank", "screen", "guidance", "drift", "eval", "registry", "workflow"])
     p.add_argument("entity", nargs="?", help="the entity to screen")
     p.add_argument("--registers", help="folder of the nine register files")
     p.add_argument("--guidance", help="the guidance file")
     p.add_argument("--registry", default="registry.json", help="file of the model registry")
+    p.add_argument("--world", help="the truth of generated registers")
+    p.add_argument("--golden", help="the golden questions")
     p.add_argument("--question", default="")
     p.add_argument("--simulate", help="jurisdiction of a simulated designation round")
     p.add_argument("--decide", choices=workflow.DECISIONS)
@@ -55,6 +57,11 @@ def main(argv: list[str] | None = None) -> None:
     if a.command == "workflow":
         print(workflow.to_mermaid(screening.build(spark)))
         return
+    if a.command == "eval":
+        found = report.full_evaluation(spark, a.registers, a.world, a.guidance, a.golden, a.out)
+        version = evaluation.Registry(a.registry).register(report.metrics_for_registry(found))
+        print(evaluation.gate_report(version))
+        return
     if a.command == "screen":
         print(json.dumps(decided(spark, a), indent=1, default=str))
         return

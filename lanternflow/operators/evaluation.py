@@ -10,6 +10,8 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lanternflow.functions import names
+
 from .ownership import prf
 from .resolution import WEIGHTS
 
@@ -101,6 +103,11 @@ def fit(table: DataFrame, trials: int = 400, seed: int = 11, thresholds: tuple[f
     return prf(c).orderBy(F.desc(F.round("f1", 4)), "trial", "threshold").limit(1)
 
 
+def significant(name: Column) -> Column:
+    """The tokens that a memoriser reads of a name."""
+    return F.array_distinct(names.significant_tokens(name))
+
+
 def memorised_tokens(pairs: DataFrame, least: float = MIN_TOKEN_PRECISION) -> DataFrame:
     """token, pos, neg: tokens that two names share (a_tokens, b_tokens) and that are precise on labelled pairs."""
     each = pairs.select("label", F.explode(F.array_intersect("a_tokens", "b_tokens")).alias("token"))

@@ -34,6 +34,13 @@ def language_check(texts: DataFrame, text: str = "text") -> DataFrame:
     return t.withColumn("passed", ~F.col("pep_mentioned") | ((F.col("n_violations") == 0) & F.col("framing_present"))).drop("__s")
 
 
+def gate_counts(checked: DataFrame) -> DataFrame:
+    """One row over texts with a verdict: documents, mentioning (the subject at all), passing of these, rate, violations."""
+    said = F.col("pep_mentioned")
+    c = checked.agg(F.count(F.lit(1)).alias("documents"), F.count_if(said).alias("mentioning"), F.count_if(said & F.col("passed")).alias("passing"), F.coalesce(F.sum("n_violations"), F.lit(0)).alias("violations"))
+    return c.withColumn("rate", F.when(F.col("mentioning") > 0, F.col("passing") / F.col("mentioning")))
+
+
 def enforced(text: Column, is_pep: Column, framing_present: Column) -> Column:
     """text with the framing after it where it is due and missing; violations are never removed."""
     return F.when(is_pep & ~framing_present, F.concat(F.rtrim(text), F.lit("\n\n" + FRAMING))).otherwise(text)

@@ -103,6 +103,14 @@ def block_counts(keys: DataFrame, max_block: int = MAX_BLOCK) -> DataFrame:
     return b.groupBy("key_type").agg(F.count(F.lit(1)).alias("blocks"), F.count_if(over).alias("dropped_blocks"), total(over).alias("dropped_pairs"), total(~over).alias("kept_pairs"))
 
 
+def explained(scores: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
+    """a, b, text: the score, the decision and what each feature contributes, the largest part first."""
+    w = weights or WEIGHTS
+    parts = F.array(*[F.struct((-F.abs(F.col(k) * x)).alias("order"), F.lit(k).alias("name"), F.col(k).cast("double").alias("value"), (F.col(k) * x).cast("double").alias("part")) for k, x in w.items()])
+    told = F.transform(F.filter(F.array_sort(parts), lambda p: p["order"] < -1e-9), lambda p: F.format_string("%s %.2f (%+.3f)", p["name"], p["value"], p["part"]))
+    return scores.select("a", "b", F.concat(F.format_string("score %.3f, %s: ", F.col("score"), F.col("decision")), F.array_join(told, ", ")).alias("text"))
+
+
 def true_pairs(members: DataFrame) -> DataFrame:
     """cluster_id, record_id -> a, b: all pairs of a truth cluster."""
     return members.select("cluster_id", F.col("record_id").alias("a")).join(members.select("cluster_id", F.col("record_id").alias("b")), "cluster_id").where("a < b").select("a", "b").distinct()
@@ -218,12 +226,13 @@ def entities(records: DataFrame, pairs: DataFrame) -> DataFrame:
     links = pairs.join(parts.withColumnRenamed("record_id", "a"), "a").groupBy("component").agg(F.min("strength").alias("weakest"))
     rank = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in SOURCE_PRIORITY.items() for x in kv]), F.col("source")), F.lit(9))
     has = lambda word: F.exists("topics", lambda t: t.startswith(word))
+    position = F.coalesce(F.try_element_at("raw", F.lit("position")), F.lit("")) if "raw" in records.columns else F.lit("")
     rolled = records.join(parts, "record_id").groupBy("component").agg(
         F.min_by("entity_type", "record_id").alias("entity_type"), F.min_by("name", F.struct(rank, -F.length("name"), "record_id")).alias("canonical_name"), F.array_sort(F.collect_set("record_id")).alias("record_ids"), F.array_sort(F.collect_set("source")).alias("sources"),
         F.array_sort(F.collect_set(F.when(F.col("jurisdiction") != "", F.col("jurisdiction")))).alias("jurisdictions"), F.bool_or(has("sanction")).alias("is_sanctioned"), F.bool_or(has("role.pep")).alias("is_pep"),
-        F.array_sort(F.collect_list(F.struct("record_id", "source", F.col("name").alias("name_as_recorded")))).alias("provenance"),
+        F.array_sort(F.collect_list(F.struct("record_id", "source", F.col("name").alias("name_as_recorded")))).alias("provenance"), F.min(F.when(position != "", F.struct("record_id", position.alias("position")))).alias("position"),
     )
-    return rolled.join(links, "component", "left").select(F.concat(F.lit("E-"), "component").alias("entity_id"), "entity_type", "canonical_name", "record_ids", "sources", "jurisdictions", "is_sanctioned", "is_pep", F.coalesce("weakest", F.lit(1.0)).alias("weakest_link"), "provenance")
+    return rolled.join(links, "component", "left").select(F.concat(F.lit("E-"), "component").alias("entity_id"), "entity_type", "canonical_name", "record_ids", "sources", "jurisdictions", "is_sanctioned", "is_pep", F.coalesce("weakest", F.lit(1.0)).alias("weakest_link"), "provenance", F.coalesce("position.position", F.lit("")).alias("pep_position"))
 
 
 def cluster_summary(found: DataFrame) -> DataFrame:

@@ -24,7 +24,12 @@ MOST_SECTIONS = 20_000
 
 
 def search(found: DataFrame, questions: DataFrame, candidates: int = 25) -> DataFrame:
-    """query, doc, score, rank by BM25 and the dense projection, fused, routed and reranked. questions: query, question.
+    """query, doc, score, rank by BM25 and the dense projection, fused, routed and reranked: the last of rankings()."""
+    return rankings(found, questions, candidates)["reranked"]
+
+
+def rankings(found: DataFrame, questions: DataFrame, candidates: int = 25) -> dict[str, DataFrame]:
+    """query, doc, score, rank of each step: bm25, dense, fused, reranked. questions: query, question.
 
     Sections are few by nature (a corpus of guidance), so the projection is fitted on the driver, which refuses more than
     MOST_SECTIONS; questions are any number and are ranked on the executors."""
@@ -47,4 +52,4 @@ def search(found: DataFrame, questions: DataFrame, candidates: int = 25) -> Data
 
     dense = q.select("query", "tokens").mapInArrow(ranked, f"query {kind}, doc string, score double, rank int")
     fused = retrieval.top_k(retrieval.rrf([sparse, dense]), candidates)
-    return retrieval.rerank(fused, q, d)
+    return {"bm25": sparse, "dense": dense, "fused": fused, "reranked": retrieval.rerank(fused, q, d)}

@@ -122,3 +122,26 @@ def test_load_order_holds_for_many_partitions(spark):
 def test_control_roots_ignore_other_ties(spark):
     e = spark.createDataFrame([("P", "A", "shareholding"), ("D", "P", "directorship"), ("A", "B", "shareholding")], "parent string, child string, interest_type string")
     assert [r.root for r in cli.control_roots(e).collect()] == ["P"]
+
+
+def test_full_evaluation(spark, world, tmp_path, capsys):
+    seeds = sorted(world["truth"])
+    (tmp_path / "w.json").write_text(json.dumps({"truth_clusters": world["truth"], "layered_roots": {s: i % 3 == 0 for i, s in enumerate(seeds)}}))
+    (tmp_path / "q.json").write_text(json.dumps({"questions": [{"qid": "q1", "question": "beneficial ownership threshold", "primary": ["FATF-R10"], "secondary": []}, {"qid": "q2", "question": "politically exposed person", "primary": ["FATF-R12"], "secondary": []}]}))
+    place = lambda n: f"file://{tmp_path / n}"
+    cli.main(["eval", "--registers", world["folder"], "--world", place("w.json"), "--guidance", world["guidance"], "--golden", place("q.json"), "--registry", str(tmp_path / "r.json"), "--out", str(tmp_path / "report.json")])
+    said, found = capsys.readouterr().out, json.loads((tmp_path / "report.json").read_text())
+    assert "pass er_precision" in said and "pass citation_resolution" in said and "pass language_gate" in said
+    assert found["entity_resolution"]["pipeline"]["f1"] > 0.8 and found["entity_resolution"]["names_only"]["f1"] > 0
+    assert {r["step"] for r in found["retrieval"].values()} == {"bm25", "dense", "fused", "reranked"} and found["retrieval"]["reranked"]["recall"] == 1.0
+    assert {(r["model"], r["split"]) for r in found["experiments"]} == {(m, s) for m in ("weights", "tokens") for s in ("pair_level", "cluster_level")}
+    assert found["workflow"]["path"][-1] == "human_gate" and evaluation.Registry(str(tmp_path / "r.json")).summary()["versions"] == 1
+
+
+def test_scores_are_explained(spark):
+    row = {k: 0.0 for k in evaluation.WEIGHTS} | {"name_jaro": 1.0, "jurisdiction_match": -0.5}
+    s = spark.createDataFrame([("a", "b", 0.3, "reject", *row.values())], "a string, b string, score double, decision string, " + ", ".join(f"{k} double" for k in row))
+    assert resolution.explained(s).first().text == "score 0.300, reject: name_jaro 1.00 (+0.340), jurisdiction_match -0.50 (-0.040)"
+    texts = spark.createDataFrame([("The PEP is corrupt.",), ("Fine.",)], "text string")
+    c = language_gate.gate_counts(language_gate.language_check(texts)).first()
+    assert (c.documents, c.mentioning, c.passing, c.rate) == (2, 1, 0, 0.0) and c.violations >= 1
