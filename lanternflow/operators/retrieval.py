@@ -72,6 +72,13 @@ def postings(docs: DataFrame, doc: str = "doc_id", tokens: str = "tokens") -> Da
 LISTED_TERMS = 20_000
 
 
+def _kept_tokens(distinct: DataFrame) -> tuple[Column, bool]:
+    """Of tokens those among distinct (term), and True; all of them, and False, if there are too many to be listed."""
+    listed = [r["term"] for r in distinct.limit(LISTED_TERMS + 1).collect()]
+    few = len(listed) <= LISTED_TERMS
+    return (F.filter("tokens", lambda t: t.isin(listed)) if few else F.col("tokens")), few
+
+
 def bm25(docs: DataFrame, queries: DataFrame, doc: str = "doc_id", query: str = "query_id", k1: float = K1, b: float = B) -> DataFrame:
     """query, doc, score for documents that share a term with the query; every query term counts once.
 
@@ -80,9 +87,7 @@ def bm25(docs: DataFrame, queries: DataFrame, doc: str = "doc_id", query: str =
     before the scores."""
     terms = queries.select(F.col(query).alias("query"), F.explode(F.array_distinct("tokens")).alias("term"))
     distinct = terms.select("term").distinct()
-    listed = [r["term"] for r in distinct.limit(LISTED_TERMS + 1).collect()]
-    few = len(listed) <= LISTED_TERMS
-    kept = F.filter("tokens", lambda t: t.isin(listed)) if few else F.col("tokens")
+    kept, few = _kept_tokens(distinct)
     cut = written(docs.select(doc, F.size("tokens").alias("doc_len"), kept.alias("tokens")))
     size = cut.agg(F.count(F.lit(1)).alias("n"), F.avg("doc_len").alias("avgdl"))
     p = cut.select(F.col(doc).alias("doc"), "doc_len", F.explode("tokens").alias("term")).groupBy("doc", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("doc_len").alias("doc_len"))
@@ -94,9 +99,11 @@ def bm25(docs: DataFrame, queries: DataFrame, doc: str = "doc_id", query: str =
     return terms.join(part, "term").groupBy("query", "doc").agg(F.sum("s").alias("score"))
 
 
-def top_k(scores: DataFrame, k: int) -> DataFrame:
-    """query, doc, score, rank (from 1): the k best of each query; ties by doc."""
-    w = Window.partitionBy("query").orderBy(F.desc("score"), "doc")
+def top_k(scores: DataFrame, k: int, digits: int | None = None) -> DataFrame:
+    """query, doc, score, rank (from 1): the k best of each query; ties by doc. digits: scores that are equal when rounded to
+    them are ties, as sums in another order differ in their last digits."""
+    by = F.col("score") if digits is None else F.round("score", digits)
+    w = Window.partitionBy("query").orderBy(F.desc(by), "doc")
     return scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
@@ -190,15 +197,28 @@ class DenseIndex:
         return sorted(((i, float(x)) for i, x in zip(self.ids, s, strict=True)), key=lambda p: (-p[1], p[0]))[:k]
 
 
+#: Digits to which reranked scores are compared.
+RERANK_DIGITS = 9
+
+
 def rerank(fused: DataFrame, queries: DataFrame, docs: DataFrame, depth: int = RERANK_DEPTH) -> DataFrame:
     """query, doc, score, rank: the first depth of fused (query, doc, rank) by rank, idf coverage, title and regime; the
-    rest keeps its order behind them. queries: query, tokens, regime; docs: doc, tokens, title_tokens, regime."""
-    n = docs.agg(F.count(F.lit(1)).alias("n"))
-    df = docs.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    idf = df.join(F.broadcast(n)).select("term", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+    rest keeps its order behind them. Scores equal to nine digits are ties, and go by doc. queries: query, tokens, regime;
+    docs: doc, tokens, title_tokens, regime; n counts rows of docs, and a term's df the doc that have it, as in bm25().
+
+    All documents are read once, for the df of the queries' terms; only those of the head give their tokens."""
     head = fused.where(F.col("rank") <= depth).select("query", "doc", "rank")
     q = queries.select("query", F.array_distinct("tokens").alias("qt"), F.col("regime").alias("q_regime"))
-    d = docs.select("doc", F.array_distinct("tokens").alias("dt"), F.array_distinct("title_tokens").alias("tt"), F.col("regime").alias("d_regime"))
+    distinct = q.select(F.explode("qt").alias("term")).distinct()
+    kept, few = _kept_tokens(distinct)
+    cut = written(docs.select("doc", F.array_distinct(kept).alias("tokens")))
+    n = cut.agg(F.count(F.lit(1)).alias("n"))
+    p = cut.select("doc", F.explode("tokens").alias("term"))
+    p = p if few else p.join(distinct, "term", "left_semi")
+    df = p.distinct().groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    idf = df.join(F.broadcast(n)).select("term", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+    near = docs.join(head.select("doc").distinct(), "doc", "left_semi")
+    d = near.select("doc", F.array_distinct("tokens").alias("dt"), F.array_distinct("title_tokens").alias("tt"), F.col("regime").alias("d_regime"))
     j = head.join(q, "query").join(d, "doc")
     cover = j.select("query", "doc", F.explode("qt").alias("term"), "dt").join(idf, "term").groupBy("query", "doc").agg(F.sum("idf").alias("all"), F.sum(F.when(F.array_contains("dt", F.col("term")), F.col("idf")).otherwise(0.0)).alias("got"))
     j = j.join(cover, ["query", "doc"], "left")
@@ -206,7 +226,7 @@ def rerank(fused: DataFrame, queries: DataFrame, docs: DataFrame, depth: int = R
     title = F.when(F.size("qt") > 0, F.size(F.array_intersect("qt", "tt")) / F.size("qt")).otherwise(0.0)
     score = 3.0 / F.col("rank") + 1.4 * covered + 0.8 * title + F.when(F.col("q_regime") == F.col("d_regime"), 2.2).otherwise(0.0)
     tail = fused.where(F.col("rank") > depth).select("query", "doc", (-F.col("rank").cast("double")).alias("score"))
-    return top_k(j.select("query", "doc", score.alias("score")).unionByName(tail), 2**31 - 1)
+    return top_k(j.select("query", "doc", score.alias("score")).unionByName(tail), 2**31 - 1, RERANK_DIGITS)
 
 
 def retrieval_metrics(ranked: DataFrame, relevant: DataFrame, k: int = 5) -> DataFrame:
